@@ -1,20 +1,61 @@
-"""The registered queries of this subpackage: one for each operator, and the corpus pipeline."""
+"""The registered queries of this subpackage: one for each operator. Vocabularies are read where their package says."""
 
 from __future__ import annotations
 
 from pyspark.sql import DataFrame, SparkSession
+from pyspark.sql import functions as F
 
-from . import exact_dedup, near_dedup
+from . import chat, exact_dedup, near_dedup, quality, token_counts, token_files, toxicity
 from .runtime import table
 
 
+def vocabulary(name: str) -> str:
+    import public_tokenizers
+
+    return public_tokenizers.path(name)
+
+
+def op2_quality(spark: SparkSession, sf_dir: str) -> DataFrame:
+    docs = table(spark, sf_dir, "documents")
+    return quality.quality(docs, quality.fit(docs, table(spark, sf_dir, "labels")))
+
+
 def op3_exact_dedup(spark: SparkSession, sf_dir: str) -> DataFrame:
     return exact_dedup.exact_dedup(table(spark, sf_dir, "documents"))
 
 
+def op6_token_counts(spark: SparkSession, sf_dir: str) -> DataFrame:
+    return token_counts.token_counts(table(spark, sf_dir, "documents"), vocabulary("byte_bpe_50k.json"), limit=1024)
+
+
 def op7_minhash_near_dedup(spark: SparkSession, sf_dir: str) -> DataFrame:
     return near_dedup.near_dedup(table(spark, sf_dir, "documents"), words=3, num=85, den=100)
 
 
-QUERIES = {f.__name__: f for f in (op3_exact_dedup, op7_minhash_near_dedup)}
-ORACLE_SQL: dict[str, str] = {}
+def op8_token_files(spark: SparkSession, sf_dir: str) -> DataFrame:
+    return token_files.digests(token_files.token_files(table(spark, sf_dir, "documents"), vocabulary("word_bpe_49k.json"), end_id=2))
+
+
+def op9_chat(spark: SparkSession, sf_dir: str) -> DataFrame:
+    rows = table(spark, sf_dir, "conversations").select(F.col("conv_id").cast("long"), F.col("turn").cast("long"), "role", "text")
+    own = [(-7, turn, role, "</s>[INST] ok [/INST]") for turn, role in enumerate(("user", "assistant"))]
+    rows = rows.unionByName(spark.createDataFrame(own, "conv_id long, turn long, role string, text string"))
+    return chat.read_back(chat.materialise(chat.reply_trees(chat.conversation_trees(rows))))
+
+
+def op10_toxicity(spark: SparkSession, sf_dir: str) -> DataFrame:
+    docs = table(spark, sf_dir, "documents")
+    return toxicity.toxicity(docs, toxicity.fit(docs, table(spark, sf_dir, "labels"))).drop("spans")
+
+
+QUERIES = {f.__name__: f for f in (op2_quality, op3_exact_dedup, op6_token_counts, op7_minhash_near_dedup, op8_token_files, op9_chat, op10_toxicity)}
+_ROWS = """(SELECT conv_id, turn, coalesce(role, '') AS role, coalesce(text, '') AS text FROM conversations
+ UNION ALL SELECT -7, 0, 'user', '</s>[INST] ok [/INST]' UNION ALL SELECT -7, 1, 'assistant', '</s>[INST] ok [/INST]') c"""
+ORACLE_SQL: dict[str, str] = {
+    "op3_exact_dedup": r"""
+WITH d AS (SELECT doc_id, coalesce(text, '') AS t, regexp_replace(coalesce(text, ''), '[ \t\n\x0b\f\r]', '', 'g') AS bare FROM documents)
+SELECT doc_id, first_value(doc_id) OVER (PARTITION BY bare ORDER BY length(t) DESC, doc_id) AS keep_id,
+ count(*) OVER (PARTITION BY bare) AS group_size,
+ row_number() OVER (PARTITION BY bare ORDER BY length(t) DESC, doc_id) = 1 AS kept, sha256(bare) AS text_sha256
+FROM d""",
+}
