@@ -5,7 +5,7 @@ from __future__ import annotations
 from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
-from . import chat, decontaminate, exact_dedup, near_dedup, packing, quality, token_counts, token_files, toxicity
+from . import chat, decontaminate, exact_dedup, near_dedup, packing, quality, substring_dedup, token_counts, token_files, toxicity
 from .runtime import table
 
 
@@ -15,6 +15,10 @@ def vocabulary(name: str) -> str:
     return public_tokenizers.path(name)
 
 
+def op1_substring_dedup(spark: SparkSession, sf_dir: str) -> DataFrame:
+    return substring_dedup.substring_dedup(table(spark, sf_dir, "documents"))
+
+
 def op2_quality(spark: SparkSession, sf_dir: str) -> DataFrame:
     docs = table(spark, sf_dir, "documents")
     return quality.quality(docs, quality.fit(docs, table(spark, sf_dir, "labels")))
@@ -56,7 +60,7 @@ def op10_toxicity(spark: SparkSession, sf_dir: str) -> DataFrame:
     return toxicity.toxicity(docs, toxicity.fit(docs, table(spark, sf_dir, "labels"))).drop("spans")
 
 
-QUERIES = {f.__name__: f for f in (op2_quality, op3_exact_dedup, op4_best_fit_packing, op5_decontamination, op6_token_counts, op7_minhash_near_dedup, op8_token_files, op9_chat, op10_toxicity)}
+QUERIES = {f.__name__: f for f in (op1_substring_dedup, op2_quality, op3_exact_dedup, op4_best_fit_packing, op5_decontamination, op6_token_counts, op7_minhash_near_dedup, op8_token_files, op9_chat, op10_toxicity)}
 _ROWS = """(SELECT conv_id, turn, coalesce(role, '') AS role, coalesce(text, '') AS text FROM conversations
  UNION ALL SELECT -7, 0, 'user', '</s>[INST] ok [/INST]' UNION ALL SELECT -7, 1, 'assistant', '</s>[INST] ok [/INST]') c"""
 ORACLE_SQL: dict[str, str] = {
