@@ -63,18 +63,18 @@ class Family:
 
 def _family(number: int, name: str, template: str) -> Family:
     groups, parts = {}, []
-    for literal, token in re.findall(r"([^{]*)(?:\{(\w)\})?", template):
-        parts.append(literal)
-        if token:
-            parts.append(_TOKENS[token])
-            if re.search(r"\((?!\?)", _TOKENS[token]):
-                groups[_ALIAS.get(token, token)] = len(groups) + 3
+    for place, part in enumerate(re.split(r"\{([A-Za-z])\}", template)):
+        parts.append(_TOKENS[part] if place % 2 else part)
+        if re.search(r"(?<!\\)\((?!\?)", parts[-1]):
+            # A group that no token names is a fraction.
+            groups[_ALIAS.get(part, part) if place % 2 else "f"] = len(groups) + 3
     return Family(number, name, rf"(?s)^(.{{0,{REACH}}}?)({''.join(parts)}).*$", groups)
 
 
 #: Specific shapes before general ones, with a year before without.
 _SHAPES = [
-    ("iso", _BEFORE + "{Y}{D}{m}{D}{d}[ T:\\-_]?[ ]?{h}:?{M}:?{S}(?!\\d){f}{z}"),
+    ("compact_start", "(?<=^.{0,2})" + _BEFORE + "{Y}{m}{d}T{H}{M}{S}(?!\\d){f}{z}"),
+    ("iso", _BEFORE + "{Y}{D}{m}{D}{d}[ T:\\-_]?[ ]?{h}[:\\-]?{M}[:\\-]?{S}(?!\\d){f}{z}"),
     ("compact", _BEFORE + "{Y}{m}{d}[ T:\\-_]?{H}{T}{M}{T}{S}(?!\\d){f}{z}"),
     ("apache", _BEFORE + "{d}[/\\- ]{b}[/\\- ,]+{Y}[ T:\\-_]{1,2}{h}:{M}:{S}" + _AFTER + "{f}{z}"),
     ("zone_year", "(?<![A-Za-z]){b} {1,2}{d},? {1,2}{h}:{M}:{S}{f} {1,2}{Z} {1,2}{Y}" + _AFTER),
@@ -84,12 +84,12 @@ _SHAPES = [
     ("short_year", _BEFORE + "{d}[\\-/ ]{b}[\\-/ ]{y}[ T:]{h}:{M}:{S}" + _AFTER + "{f}{z}"),
     ("us", _BEFORE + "{n}{D}{d}{D}{Y}[ T:,]{1,2}{h}:{M}:{S}" + _AFTER + "{f}{z}"),
     ("minute", "\\[{Y}{D}{m}{D}{d}[ T]{H}:{M}(?=\\])"),
+    ("compact_minute", "^{Y}{m}{d}[ T]?{H}{M}(?!\\d)"),
     ("no_year", "(?<![A-Za-z]){b} {1,2}{d},? {h}:{M}:{S}" + _AFTER + "{f}{z}"),
     ("epoch", "(?:^|(?<=audit\\()|(?<=timestamp\": ?)|(?<=timestamp\":))\"?{e}(?:[.,]?(\\d{3,9}))?(?![\\d])"),
     ("uptime", "^\\[ *{u}[.](\\d{3,9})\\]"),
 ]
-FAMILIES = [_family(i, name, shape.replace("{1,2}", "@@")) for i, (name, shape) in enumerate(_SHAPES, 1)]
-FAMILIES = [Family(f.id, f.name, f.regex.replace("@@", "{1,2}"), f.groups | ({"f": 4} if f.name in ("epoch", "uptime") else {})) for f in FAMILIES]
+FAMILIES = [_family(i, name, shape) for i, (name, shape) in enumerate(_SHAPES, 1)]
 BY_NAME = {f.name: f for f in FAMILIES}
 
 

@@ -9,6 +9,7 @@ from pyspark.sql import functions as F
 
 from chronoweave.functions import tz, window
 from chronoweave.operators import merge, messages, render
+from chronoweave.plans.shared import written
 from chronoweave.sources import files as file_source
 from chronoweave.sources import fixed, text
 
@@ -50,8 +51,12 @@ def read_messages(spark: SparkSession, files: list[dict], options: Options = Opt
         lines = text.read_lines(spark, texts).join(known, "path")
         if any(f["file_type"] == "tar" for f in texts):
             lines = lines.withColumn("block", F.col("block") + F.coalesce(F.pmod(F.xxhash64("subpath"), F.lit(1 << 40)) * (1 << 20), F.lit(0)))
-        stamped = messages.with_datetimes(lines, zone, options.compat_epoch, use_head=not any(f["file_type"] == "tar" for f in texts))
-        stamped = messages.with_uptimes(messages.with_years(stamped, zone), zone, options.compat_epoch)
+        stamped = written(messages.with_datetimes(lines, zone, options.compat_epoch, use_head=not any(f["file_type"] == "tar" for f in texts)))
+        needs = stamped.agg(F.max(~F.col("has_year") & ~F.col("is_uptime")).alias("year"), F.max("is_uptime").alias("uptime")).first()
+        if needs["year"]:
+            stamped = messages.with_years(stamped, zone)
+        if needs["uptime"]:
+            stamped = messages.with_uptimes(stamped, zone, options.compat_epoch)
         parts.append(messages.group_lines(stamped))
     records = [f for f in good if f["file_type"].startswith("fixed:")]
     if records:
