@@ -34,6 +34,7 @@ _TOKENS = {
     "n": r"(0?[1-9]|1[0-2])",
     "b": rf"((?i:{_MONTH}))\.?",
     "d": r"(0[1-9]|[12]\d|3[01]| ?[1-9])",
+    "p": r"(0[1-9]|[12]\d|3[01])",
     "H": r"([01]\d|2[0-3])",
     "h": r"([01]\d|2[0-3]| ?\d)",
     "M": r"([0-5]\d)",
@@ -47,7 +48,7 @@ _TOKENS = {
     "T": r"[:\-.]?",
     "w": r"(?i:Mon|Tue|Wed|Thu|Fri|Sat|Sun)[a-z]{0,6}\.?",
 }
-_ALIAS = {"n": "m", "h": "H", "Z": "z"}
+_ALIAS = {"n": "m", "p": "d", "h": "H", "Z": "z"}
 _BEFORE, _AFTER = r"(?<![0-9A-Za-z])", r"(?!\d)"
 
 
@@ -73,9 +74,9 @@ def _family(number: int, name: str, template: str) -> Family:
 
 #: Specific shapes before general ones, with a year before without.
 _SHAPES = [
-    ("compact_start", "(?<=^.{0,2})" + _BEFORE + "{Y}{m}{d}T{H}{M}{S}(?!\\d){f}{z}"),
+    ("compact_start", "(?<=^.{0,2})" + _BEFORE + "{Y}{m}{p}T{H}{M}{S}(?!\\d){f}{z}"),
     ("iso", _BEFORE + "{Y}{D}{m}{D}{d}[ T:\\-_]?[ ]?{h}[:\\-]?{M}[:\\-]?{S}(?!\\d){f}{z}"),
-    ("compact", _BEFORE + "{Y}{m}{d}[ T:\\-_]?{H}{T}{M}{T}{S}(?!\\d){f}{z}"),
+    ("compact", _BEFORE + "{Y}{m}{p}[ T:\\-_]?{H}{T}{M}{T}{S}(?!\\d){f}{z}"),
     ("apache", _BEFORE + "{d}[/\\- ]{b}[/\\- ,]+{Y}[ T:\\-_]{1,2}{h}:{M}:{S}" + _AFTER + "{f}{z}"),
     ("zone_year", "(?<![A-Za-z]){b} {1,2}{d},? {1,2}{h}:{M}:{S}{f} {1,2}{Z} {1,2}{Y}" + _AFTER),
     ("ctime", "(?<![A-Za-z]){b} {1,2}{d},? {1,2}{h}:{M}:{S}{f} {1,2}{Y}" + _AFTER + "{z}"),
@@ -84,7 +85,7 @@ _SHAPES = [
     ("short_year", _BEFORE + "{d}[\\-/ ]{b}[\\-/ ]{y}[ T:]{h}:{M}:{S}" + _AFTER + "{f}{z}"),
     ("us", _BEFORE + "{n}{D}{d}{D}{Y}[ T:,]{1,2}{h}:{M}:{S}" + _AFTER + "{f}{z}"),
     ("minute", "\\[{Y}{D}{m}{D}{d}[ T]{H}:{M}(?=\\])"),
-    ("compact_minute", "^{Y}{m}{d}[ T]?{H}{M}(?!\\d)"),
+    ("compact_minute", "^{Y}{m}{p}[ T]?{H}{M}(?!\\d)"),
     ("no_year", "(?<![A-Za-z]){b} {1,2}{d},? {h}:{M}:{S}" + _AFTER + "{f}{z}"),
     ("epoch", "(?:^|(?<=audit\\()|(?<=timestamp\": ?)|(?<=timestamp\":))\"?{e}(?:[.,]?(\\d{3,9}))?(?![\\d])"),
     ("uptime", "^\\[ *{u}[.](\\d{3,9})\\]"),

@@ -90,3 +90,8 @@ def offset_text(size: int, colon: bool = False) -> str:
     """``+hhmm`` or ``+hh:mm``."""
     hours, minutes = divmod(abs(size) // 60, 60)
     return f"{'-' if size < 0 else '+'}{hours:02}{':' if colon else ''}{minutes:02}"
+
+
+def utc_wall(epoch_s: Column) -> Column:
+    """The UTC wall clock of epoch seconds as TIMESTAMP_NTZ, whatever the session's zone."""
+    return F.lit("1970-01-01 00:00:00").cast("timestamp_ntz") + F.make_dt_interval(secs=epoch_s.cast("decimal(18,6)"))

@@ -5,7 +5,7 @@ from __future__ import annotations
 from pyspark.sql import DataFrame, Window
 from pyspark.sql import functions as F
 
-from chronoweave.functions import patterns
+from chronoweave.functions import patterns, tz
 from chronoweave.operators.running import with_next, with_running
 
 #: Lines at the head of a file that decide its patterns, and how many patterns it may keep.
@@ -43,8 +43,8 @@ def with_years(stamped: DataFrame, default_tz: int) -> DataFrame:
     ahead = with_next(lacking.select(*keys, "epoch_ns", "tz_offset_s", "mtime"), ["path_id"], "block", "pos", "_ahead", F.col("epoch_ns"))
     turn = F.when(F.col("epoch_ns") - F.col("_ahead") > _JUMP, 1).otherwise(0)
     turned = with_running(ahead.withColumn("_turn", turn), ["path_id"], "block", "pos", {"_turns": ("sum", F.col("_turn"))}, backwards=True)
-    wall = F.timestamp_seconds(F.floor(F.col("epoch_ns") / NANOS) + F.col("tz_offset_s"))
-    last = F.year(F.timestamp_seconds(F.col("mtime") + default_tz))
+    wall = tz.utc_wall(F.floor(F.col("epoch_ns") / NANOS) + F.col("tz_offset_s"))
+    last = F.year(tz.utc_wall(F.col("mtime") + default_tz))
     year = (last - F.col("_turns")).cast("int")
     moved = F.unix_seconds(F.try_make_timestamp(year, F.month(wall), F.dayofmonth(wall), F.hour(wall), F.minute(wall), F.second(wall).cast("decimal(8,6)"), F.lit("UTC")))
     fixed = turned.select(*keys, ((moved - F.col("tz_offset_s")) * NANOS + F.pmod(F.col("epoch_ns"), F.lit(NANOS))).alias("_fixed")).withColumnsRenamed({k: f"_k_{k}" for k in keys})

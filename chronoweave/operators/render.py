@@ -30,7 +30,7 @@ def format_datetime(epoch_ns: Column, form: str, zone_s: Column) -> Column:
     """strftime-like text of an instant at an offset, with %f, %3f, %.9f, %z, %:z, %s and nanoseconds."""
     nanos = F.pmod(epoch_ns, F.lit(1_000_000_000))
     seconds = ((epoch_ns - nanos) / 1_000_000_000).cast("bigint")
-    wall = F.to_timestamp_ntz(F.date_format(F.timestamp_seconds(seconds + zone_s), "yyyy-MM-dd HH:mm:ss"))
+    wall = tz.utc_wall(seconds + zone_s)
     digits = F.lpad(nanos.cast("string"), 9, "0")
     sign, size = F.when(zone_s < 0, "-").otherwise("+"), F.abs(zone_s)
     hours = F.lpad(F.floor(size / 3600).cast("string"), 2, "0")

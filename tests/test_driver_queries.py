@@ -1,20 +1,24 @@
 import duckdb
 import pytest
 
-from chronoweave.plans import driver_queries as D
+from chronoweave.plans import driver_queries, operator_queries
 
 SF = "/root/testdata/sf0.001"
 
 
-@pytest.mark.parametrize("name", sorted(D.QUERIES))
+QUERIES = driver_queries.QUERIES | operator_queries.QUERIES
+ORACLE_SQL = driver_queries.ORACLE_SQL | operator_queries.ORACLE_SQL
+
+
+@pytest.mark.parametrize("name", sorted(QUERIES))
 def test_query_equals_sql(spark, name):
-    df = D.QUERIES[name](spark, SF)
+    df = QUERIES[name](spark, SF)
     columns = sorted(df.columns)
     got = [tuple(r[c] for c in columns) for r in df.collect()]
     con = duckdb.connect()
-    for t in ("events", "orders", "lineitem"):
+    for t in ("events", "orders", "lineitem", "conversations", "pages"):
         con.sql(f"CREATE VIEW {t} AS SELECT * FROM '{SF}/{t}.parquet'")
-    want = con.sql(D.ORACLE_SQL[name])
+    want = con.sql(ORACLE_SQL[name])
     places = [want.columns.index(c) for c in columns]
     assert sorted(map(repr, got)) == sorted(repr(tuple(r[i] for i in places)) for r in want.fetchall())
 
