@@ -117,3 +117,16 @@ def test_merge_key_equals_a_head_by_head_merge(spark):
     df = spark.createDataFrame(rows, "path_id int, seq long, epoch_ns long")
     got = merge.with_merge_key(df, block=4).orderBy("merge_key", "path_id", "seq").collect()
     assert [(r.path_id, r.seq) for r in got] == want
+
+
+def test_file_over_many_splits_keeps_its_order(spark, tmp_path):
+    path = tmp_path / "big.log"
+    path.write_text("".join(f"2020-01-01 {i // 3600:02}:{i // 60 % 60:02}:{i % 60:02} n{i}\n tail {i}\n" for i in range(2000)))
+    before = spark.conf.get("spark.sql.files.maxPartitionBytes")
+    spark.conf.set("spark.sql.files.maxPartitionBytes", "7001")
+    try:
+        rows = sorted(read_messages(spark, files.list_files(spark, [str(path)])).collect(), key=lambda r: r.seq)
+    finally:
+        spark.conf.set("spark.sql.files.maxPartitionBytes", before)
+    assert [bytes(r.raw).decode().split(" tail ")[1] for r in rows] == [f"{i}\n" for i in range(2000)]
+    assert [r.n_lines for r in rows] == [2] * 2000
