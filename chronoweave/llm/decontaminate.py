@@ -1,10 +1,12 @@
-"""Benchmark decontamination: rare n-gram seeds, then Smith-Waterman alignment of words.
-
-Seeds are 3-word n-grams of benchmark items. One scan counts in how many documents each occurs; an item
-keeps the rarer half of its seeds (rare by rank within the item, so each item keeps some, however
-often it was copied). The second scan joins documents to items on these seeds and aligns
-the words around each group of hits with the item's words; local alignment scores edited and paraphrased
-copies. Benchmarks are handled in blocks of bounded size, each against all documents.
+"""Benchmark decontamination: rare word-pair seeds, then Smith-Waterman alignment of words.
+
+Seeds are ordered pairs of words one or two apart, in items and documents alike. Of m matched words a step
+from one to the next costs at least 2 unless both are such a pair, and a score of ``THRESHOLD`` for n words
+bounds the costs by 2m - n, so at least ceil(n / 2) - 1 of the item's n - 1 places begin a pair that
+the document has. An item may thus leave out ceil(n / 2) - 2 places, and no copy is lost: one scan counts in how many
+documents each seed occurs, and the most frequent places are left out. The second scan joins documents
+to items on the seeds that are left, counts all places that hit, and aligns where they are enough.
+Benchmarks are handled in blocks of bounded size, each against all documents.
 """
 
 from __future__ import annotations
@@ -18,7 +20,7 @@ from pyspark.sql import functions as F
 
 from . import kernels as K
 
-SEED_WORDS = 3
+SEED_GAPS = (1, 2)
 MATCH, MISMATCH, GAP = 2, -1, -1
 #: Share of a whole item's best score from which a passage counts as a copy of it.
 THRESHOLD = 0.5
@@ -53,6 +55,12 @@ def align(item: np.ndarray, words: np.ndarray) -> tuple[int, int]:
     return best, end
 
 
+def pairs(h: np.ndarray, gap: int) -> np.ndarray:
+    """Hashes of the ordered pairs of words that are ``gap`` apart; the gap itself isn't hashed."""
+    with np.errstate(over="ignore"):
+        return K.mix(K.mix(h[: max(len(h) - gap, 0)]) + h[gap:])
+
+
 class Items:
     """A block of benchmark items: their word hashes, and an index of their seeds."""
 
@@ -60,51 +68,79 @@ class Items:
         data, offsets = K.buffers(pa.array(texts, pa.string()))
         h, at = plain_words(data, offsets)
         self.ids, self.words = ids, [h[a:z] for a, z in zip(at[:-1], at[1:])]
-        seeds, begin = K.shingles(h, at, SEED_WORDS)
-        owner = np.repeat(np.arange(len(ids)), np.diff(begin))
-        place = np.arange(len(seeds)) - begin[:-1][owner]
+        self.sizes = np.diff(at)
+        #: Places of each item that begin a pair of every copy, at least.
+        self.need = np.maximum(-(-self.sizes // 2) - 1, 1)
+        found = [(pairs(w, gap), i) for i, w in enumerate(self.words) for gap in SEED_GAPS]
+        seeds = np.concatenate([x for x, _ in found] or [np.zeros(0, K.U64)])
+        owner = np.concatenate([np.full(len(x), i) for x, i in found] or [np.zeros(0, np.int64)])
+        place = np.concatenate([np.arange(len(x)) for x, _ in found] or [np.zeros(0, np.int64)])
+        self._index(seeds, owner, place)
+
+    def _index(self, seeds: np.ndarray, owner: np.ndarray, place: np.ndarray) -> None:
         order = np.argsort(seeds, kind="stable")
         self.seeds, self.owner, self.place = seeds[order], owner[order], place[order]
+        self.maybe = np.zeros(1 << 20, bool)
+        self.maybe[self.seeds & K.U64(len(self.maybe) - 1)] = True
 
     def keep_rare(self, seen: dict[int, int]) -> None:
-        """Keeps the rarer half of each item's seeds, ties by hash."""
+        """Leaves out each item's most frequent places, as many as no copy needs."""
         often = np.array([seen.get(int(s), 0) for s in K.signed(self.seeds)], np.int64)
-        order = np.lexsort((self.seeds, often, self.owner))
-        n = np.bincount(self.owner, minlength=len(self.ids))
+        begin = np.concatenate([[0], np.cumsum(np.maximum(self.sizes - 1, 0))])
+        at = begin[:-1][self.owner] + self.place
+        total = np.bincount(at, weights=often, minlength=begin[-1])
+        item = np.repeat(np.arange(len(self.ids)), np.diff(begin))
+        order = np.lexsort((-total, item))
         rank = np.empty(len(order), np.int64)
-        rank[order] = np.arange(len(order)) - (np.cumsum(n) - n)[self.owner[order]]
-        keep = rank < -(-n[self.owner] // 2)
-        self.seeds, self.owner, self.place = self.seeds[keep], self.owner[keep], self.place[keep]
-
-    def hits(self, x: np.ndarray) -> np.ndarray:
-        """Which of the document seeds x occur in the index."""
-        if not len(self.seeds):
-            return np.zeros(len(x), bool)
-        return self.seeds[np.minimum(np.searchsorted(self.seeds, x), len(self.seeds) - 1)] == x
+        rank[order] = np.arange(len(order)) - begin[:-1][item[order]]
+        keep = (rank >= self.need[item] - 1)[at]
+        self._index(self.seeds[keep], self.owner[keep], self.place[keep])
+
+    def hits(self, h: np.ndarray, at: np.ndarray) -> tuple[np.ndarray, np.ndarray, np.ndarray]:
+        """The seeds of the index that rows of words hold: seed, row, index of its first word."""
+        row = np.repeat(np.arange(len(at) - 1), np.diff(at))
+        seeds, rows, firsts = [np.zeros(0, K.U64)], [np.zeros(0, np.int64)], [np.zeros(0, np.int64)]
+        for gap in SEED_GAPS:
+            x = pairs(h, gap)
+            found = np.flatnonzero(self.maybe[x & K.U64(len(self.maybe) - 1)])
+            found = found[row[found] == row[found + gap]]
+            x = x[found]
+            if len(x):
+                own = self.seeds[np.minimum(np.searchsorted(self.seeds, x), len(self.seeds) - 1)] == x
+                seeds, rows, firsts = [*seeds, x[own]], [*rows, row[found[own]]], [*firsts, found[own]]
+        return np.concatenate(seeds), np.concatenate(rows), np.concatenate(firsts)
+
+    def enough(self, i: int, window: np.ndarray) -> bool:
+        """Whether as many places of item i begin a pair of the window as every copy has."""
+        have = np.concatenate([pairs(window, gap) for gap in SEED_GAPS])
+        hit = np.zeros(max(len(self.words[i]) - 1, 0), bool)
+        for gap in SEED_GAPS:
+            x = pairs(self.words[i], gap)
+            hit[: len(x)] |= np.isin(x, have)
+        return hit.sum() >= self.need[i]
 
     def copies(self, texts: pa.Array) -> Iterator[tuple[int, int, float, int, int]]:
         """(row, item_id, score, first word, end word) of the best copy of each item in each text."""
         data, offsets = K.buffers(texts)
         for first, _end, part, offs in K.chunks(data, offsets):
             h, at = plain_words(part, offs)
-            x, begin = K.shingles(h, at, SEED_WORDS)
-            found = np.flatnonzero(self.hits(x))
-            low, high = np.searchsorted(self.seeds, x[found]), np.searchsorted(self.seeds, x[found], side="right")
-            where = np.repeat(found, high - low)
+            x, rows, found = self.hits(h, at)
+            low, high = np.searchsorted(self.seeds, x), np.searchsorted(self.seeds, x, side="right")
             entry = np.repeat(low - (np.cumsum(high - low) - (high - low)), high - low) + np.arange((high - low).sum())
-            row = np.searchsorted(begin, where, side="right") - 1
-            item, place = self.owner[entry], where - begin[row]
+            row = np.repeat(rows, high - low)
+            item, place = self.owner[entry], np.repeat(found, high - low) - at[row]
             order = np.lexsort((place, item, row))
             row, item, place = row[order], item[order], place[order]
-            sizes = np.array([len(w) for w in self.words])
             new = np.ones(len(row) + 1, bool)
-            new[1:-1] = (row[1:] != row[:-1]) | (item[1:] != item[:-1]) | (place[1:] - place[:-1] > 2 * sizes[item[1:]])
+            new[1:-1] = (row[1:] != row[:-1]) | (item[1:] != item[:-1]) | (place[1:] - place[:-1] > 2 * self.sizes[item[1:]])
             cuts, best = np.flatnonzero(new), {}
             for a, z in zip(cuts[:-1], cuts[1:]):
                 r, i = int(row[a]), int(item[a])
                 own, words = self.words[i], h[at[r] : at[r + 1]]
                 left = max(0, int(place[a]) - 2 * len(own))
-                window = words[left : int(place[z - 1]) + 2 * len(own) + SEED_WORDS]
+                window = words[left : int(place[z - 1]) + 2 * len(own) + max(SEED_GAPS) + 1]
+                if not self.enough(i, window):
+                    continue
                 points, end = align(own, window)
                 score = points / (MATCH * len(own))
                 if score >= THRESHOLD and score > best.get((r, i), (0,))[0]:
@@ -121,12 +157,10 @@ def _counter(items: Items):
             data, offsets = K.buffers(b.column("text"))
             for _, _, part, offs in K.chunks(data, offsets):
                 h, at = plain_words(part, offs)
-                x, begin = K.shingles(h, at, SEED_WORDS)
-                found = np.flatnonzero(items.hits(x))
-                row = np.searchsorted(begin, found, side="right")
-                if len(found):
-                    order = np.lexsort((x[found], row))
-                    s, r = x[found][order], row[order]
+                x, row, _ = items.hits(h, at)
+                if len(x):
+                    order = np.lexsort((x, row))
+                    s, r = x[order], row[order]
                     once = np.concatenate([[True], (s[1:] != s[:-1]) | (r[1:] != r[:-1])])
                     seen.append(s[once])
             seeds, n = np.unique(np.concatenate(seen), return_counts=True)

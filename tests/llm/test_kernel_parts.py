@@ -66,6 +66,19 @@ def test_alignment_scores():
     assert decontaminate.align(item, np.zeros(0, np.uint64)) == (0, 0)
 
 
+@given(st.lists(st.integers(0, 12), min_size=3, max_size=14), st.lists(st.integers(0, 12), max_size=60), st.data())
+@settings(deadline=None, max_examples=300)
+def test_every_copy_at_the_threshold_is_found(item, noise, data):
+    edited = [w for w in item for w in data.draw(st.sampled_from([[w], [w], [w], [99], [w, 98], []]))]
+    words = noise[:30] + edited + noise[30:]
+    text = lambda x: " ".join(f"w{i}" for i in x)
+    items = decontaminate.Items([7], [text(item)])
+    items.keep_rare({int(s): data.draw(st.integers(0, 3)) for s in items.seeds.view(np.int64)})
+    best, _ = decontaminate.align(np.array(item, np.uint64), np.array(words, np.uint64))
+    score = best / (2 * len(item))
+    assert [c[2] for c in items.copies(pa.array([text(words)]))] == ([score] if score >= decontaminate.THRESHOLD else [])
+
+
 def test_empty_texts_have_scores():
     s, spans = toxicity.scores(pa.array(["", None, "a"], pa.string()), toxicity.train(pa.array([], pa.string()), []))
     assert list(s) == [0.5] * 3 and spans == [[], [], []]

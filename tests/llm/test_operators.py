@@ -59,6 +59,16 @@ def test_decontamination(spark, docs, empty):
     assert decontaminate.contaminated(docs, bench.where("false")).count() == decontaminate.contaminated(empty, bench).count() == 0
 
 
+@pytest.mark.parametrize("step", [3, 4, 5])
+def test_decontamination_finds_lone_edited_copies(spark, step):
+    edited = " ".join("new" if i % step == step - 1 else w for i, w in enumerate(WORDS[100:140]))
+    rows = [(1, prose(0, 90) + " " + edited + " " + prose(200, 290)), (2, prose(100, 140)), (3, prose(300, 400))]
+    docs = spark.createDataFrame(rows, "doc_id long, text string")
+    bench = spark.createDataFrame([(1, prose(100, 140))], "item_id long, text string")
+    assert {r["doc_id"] for r in decontaminate.contaminated(docs, bench).collect()} == {1, 2}
+    assert {r["doc_id"] for r in decontaminate.contaminated(docs.where("doc_id <> 2"), bench).collect()} == {1}
+
+
 def test_token_counts_and_cache(docs, empty, tmp_path):
     path, cache = queries.vocabulary("byte_bpe_50k.json"), f"file://{tmp_path}/cache"
     run = lambda d: sorted((tuple(r) for r in token_counts.token_counts(d, path, cache).collect()), key=repr)
