@@ -11,6 +11,7 @@ Benchmarks are handled in blocks of bounded size, each against all documents.
 
 from __future__ import annotations
 
+import unicodedata
 from collections.abc import Iterator
 
 import numpy as np
@@ -30,8 +31,21 @@ _MARKS = np.zeros(256, bool)
 _MARKS[[ord(c) for c in ".,;:!?\"'()"]] = True
 
 
+def folded(data: np.ndarray, offsets: np.ndarray) -> tuple[np.ndarray, np.ndarray]:
+    """Bytes and offsets of the texts in NFC without case; rows of ASCII alone stay, as hashing folds them."""
+    if not (data >= 128).any():
+        return data, offsets
+    rows = [data[a:z].tobytes() for a, z in zip(offsets[:-1], offsets[1:])]
+    for k, row in enumerate(rows):
+        if not row.isascii():
+            text = unicodedata.normalize("NFC", row.decode("utf-8", "surrogateescape")).casefold()
+            rows[k] = unicodedata.normalize("NFC", text).encode("utf-8", "surrogateescape")
+    return np.frombuffer(b"".join(rows), np.uint8), np.concatenate([[0], np.cumsum([len(row) for row in rows])])
+
+
 def plain_words(data: np.ndarray, offsets: np.ndarray) -> tuple[np.ndarray, np.ndarray]:
     """Hashes of words without case and marks at their ends, and each row's first index (plus one)."""
+    data, offsets = folded(data, offsets)
     starts, ends, at = K.words(data, offsets)
     for _ in range(3):
         if len(starts):

@@ -1,3 +1,4 @@
+import unicodedata
 from collections import Counter
 
 import pytest
@@ -69,6 +70,14 @@ def test_decontamination_finds_lone_edited_copies(spark, step):
     assert {r["doc_id"] for r in decontaminate.contaminated(docs.where("doc_id <> 2"), bench).collect()} == {1}
 
 
+def test_decontamination_folds_case_over_unicode(spark):
+    item = "él niño soñó qué señor cantó además allá straße français garçon élève où être"
+    texts = [item.upper(), unicodedata.normalize("NFD", item), unicodedata.normalize("NFD", item.upper()), "otro texto sin nada de ello"]
+    docs = spark.createDataFrame(list(enumerate(texts)), "doc_id long, text string")
+    got = decontaminate.contaminated(docs, spark.createDataFrame([(1, item)], "item_id long, text string")).collect()
+    assert {r["doc_id"]: r["score"] for r in got} == {0: 1.0, 1: 1.0, 2: 1.0}
+
+
 def test_token_counts_and_cache(docs, empty, tmp_path):
     path, cache = queries.vocabulary("byte_bpe_50k.json"), f"file://{tmp_path}/cache"
     run = lambda d: sorted((tuple(r) for r in token_counts.token_counts(d, path, cache).collect()), key=repr)
