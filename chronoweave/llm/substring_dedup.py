@@ -113,12 +113,13 @@ def _confirmed(docs: DataFrame, pairs: DataFrame, home: DataFrame) -> DataFrame:
 
 
 def substring_dedup(documents: DataFrame, min_words: int = MIN_WORDS) -> DataFrame:
-    """One row per passage that repeats across documents: doc_id, start, end, n_words, clusters, removed.
+    """Passages that repeat across documents, in parts to keep or remove: doc_id, start, end, n_words, clusters, removed.
 
     A passage is a run of consecutive paragraphs, each with a near copy (5-word shingles, Jaccard 0.8) in
-    another document, of ``min_words`` words or more; start and end are byte offsets, clusters the
-    sorted ids of its paragraphs' clusters. removed is false where a paragraph of it is the first of
-    its cluster (smallest doc_id, then place). Documents without such a passage have no row. Null and empty
+    another document, of ``min_words`` words or more. It gives a row for each longest part whose paragraphs
+    all are the first of their cluster (smallest doc_id, then place; removed is false) or all are not
+    (removed is true), so a part may be shorter; start and end are byte offsets, clusters the
+    sorted ids of its paragraphs' clusters. Documents without such a passage have no row. Null and empty
     texts have none; rows without a doc_id are left out, and rows that share one count as one document.
     """
     docs = documents.select(F.col("doc_id").cast("long").alias("doc_id"), "text").where("doc_id is not null")
@@ -152,8 +153,13 @@ def substring_dedup(documents: DataFrame, min_words: int = MIN_WORDS) -> DataFra
     found = materialise(docs.mapInArrow(_occurrences, "doc_id long, no long, start long, end long, n_words long, node long").join(small(wanted), "node").drop("node"))
     first = found.groupBy("cluster").agg(F.min(F.struct("doc_id", "no", "start")).alias("f")).select(F.col("f.doc_id").alias("fd"), F.col("f.no").alias("fn"), F.lit(True).alias("first")).distinct()
     marked = found.join(first, (F.col("doc_id") == F.col("fd")) & (F.col("no") == F.col("fn")), "left").distinct()
-    run = F.col("no") - F.row_number().over(Window.partitionBy("doc_id").orderBy("no", "start"))
-    passages = marked.withColumn("run", run).groupBy("doc_id", "run").agg(
-        F.min("start").alias("start"), F.max("end").alias("end"), F.sum("n_words").alias("n_words"), F.sort_array(F.collect_set("cluster")).alias("clusters"), F.max(F.coalesce("first", F.lit(False))).alias("any_first")
-    )
-    return passages.where(F.col("n_words") >= min_words).select("doc_id", "start", "end", "n_words", "clusters", (~F.col("any_first")).alias("removed"))
+    by_place = Window.partitionBy("doc_id").orderBy("no", "start")
+    marked = marked.withColumn("removed", F.col("first").isNull()).withColumn("run", F.col("no") - F.row_number().over(by_place))
+    in_run = Window.partitionBy("doc_id", "run")
+    in_order = in_run.orderBy("no", "start")
+    turns = (F.col("removed") != F.lag("removed").over(in_order)).cast("int")
+    parts = marked.withColumn("words", F.sum("n_words").over(in_run)).where(F.col("words") >= min_words)
+    parts = parts.withColumn("turn", F.coalesce(turns, F.lit(0))).withColumn("part", F.sum("turn").over(in_order))
+    return parts.groupBy("doc_id", "run", "part", "removed").agg(
+        F.min("start").alias("start"), F.max("end").alias("end"), F.sum("n_words").alias("n_words"), F.sort_array(F.collect_set("cluster")).alias("clusters")
+    ).select("doc_id", "start", "end", "n_words", "clusters", "removed")

@@ -46,6 +46,14 @@ def test_substring_dedup(docs, empty):
     assert substring_dedup.substring_dedup(empty).count() == 0
 
 
+def test_substring_dedup_removes_copies_beside_first_ones(spark):
+    old, new = prose(0, 40), prose(100, 140)
+    rows = [(1, old), (2, f"{old}\n{new}"), (3, f"{new}\n{old}"), (4, f"new line\n{old}"), (5, "new line")]
+    got = substring_dedup.substring_dedup(spark.createDataFrame(rows, "doc_id long, text string")).collect()
+    spans = {(r["doc_id"], dict(rows)[r["doc_id"]].encode()[r["start"] : r["end"]].decode(), r["removed"]) for r in got}
+    assert spans == {(1, old, False), (2, old, True), (2, new, False), (3, f"{new}\n{old}", True), (4, "new line", False), (4, old, True)}
+
+
 def test_packing(docs, empty):
     load = Counter()
     for r in packing.pack(docs, 100).collect():
