@@ -85,7 +85,10 @@ class Items:
         self.sizes = np.diff(at)
         #: Places of each item that begin a pair of every copy, at least.
         self.need = np.maximum(-(-self.sizes // 2) - 1, 1)
-        found = [(pairs(w, gap), i) for i, w in enumerate(self.words) for gap in SEED_GAPS]
+        self.places = np.maximum(self.sizes - 1, np.minimum(self.sizes, 1))
+        #: A word alone is its own pair, looked up only where an item has no other.
+        self.gaps = (0, *SEED_GAPS) if (self.sizes == 1).any() else SEED_GAPS
+        found = [(pairs(w, gap), i) for i, w in enumerate(self.words) for gap in (SEED_GAPS if len(w) > 1 else (0,))]
         seeds = np.concatenate([x for x, _ in found] or [np.zeros(0, K.U64)])
         owner = np.concatenate([np.full(len(x), i) for x, i in found] or [np.zeros(0, np.int64)])
         place = np.concatenate([np.arange(len(x)) for x, _ in found] or [np.zeros(0, np.int64)])
@@ -100,7 +103,7 @@ class Items:
     def keep_rare(self, seen: dict[int, int]) -> None:
         """Leaves out each item's most frequent places, as many as no copy needs."""
         often = np.array([seen.get(int(s), 0) for s in K.signed(self.seeds)], np.int64)
-        begin = np.concatenate([[0], np.cumsum(np.maximum(self.sizes - 1, 0))])
+        begin = np.concatenate([[0], np.cumsum(self.places)])
         at = begin[:-1][self.owner] + self.place
         total = np.bincount(at, weights=often, minlength=begin[-1])
         item = np.repeat(np.arange(len(self.ids)), np.diff(begin))
@@ -114,7 +117,7 @@ class Items:
         """The seeds of the index that rows of words hold: seed, row, index of its first word."""
         row = np.repeat(np.arange(len(at) - 1), np.diff(at))
         seeds, rows, firsts = [np.zeros(0, K.U64)], [np.zeros(0, np.int64)], [np.zeros(0, np.int64)]
-        for gap in SEED_GAPS:
+        for gap in self.gaps:
             x = pairs(h, gap)
             found = np.flatnonzero(self.maybe[x & K.U64(len(self.maybe) - 1)])
             found = found[row[found] == row[found + gap]]
@@ -126,9 +129,10 @@ class Items:
 
     def enough(self, i: int, window: np.ndarray) -> bool:
         """Whether as many places of item i begin a pair of the window as every copy has."""
-        have = np.concatenate([pairs(window, gap) for gap in SEED_GAPS])
-        hit = np.zeros(max(len(self.words[i]) - 1, 0), bool)
-        for gap in SEED_GAPS:
+        gaps = SEED_GAPS if self.sizes[i] > 1 else (0,)
+        have = np.concatenate([pairs(window, gap) for gap in gaps])
+        hit = np.zeros(self.places[i], bool)
+        for gap in gaps:
             x = pairs(self.words[i], gap)
             hit[: len(x)] |= np.isin(x, have)
         return hit.sum() >= self.need[i]
@@ -219,7 +223,8 @@ def contaminated(documents: DataFrame, benchmark: DataFrame) -> DataFrame:
     """One row per document and benchmark item of which it holds a copy: doc_id, item_id, score, first_word, end_word.
 
     score is the Smith-Waterman score over that of the whole item, at least ``THRESHOLD``; the words from
-    first_word to before end_word are the best copy. Null and empty texts hold none; an empty
+    first_word to before end_word are the best copy. An item of two words needs both of them, at most one
+    word apart; half of it, one word, is no copy. Null and empty texts hold none; an empty
     benchmark gives no rows. Other columns are ignored.
     """
     schema = "doc_id long, item_id long, score double, first_word long, end_word long"

@@ -79,6 +79,13 @@ def test_every_copy_at_the_threshold_is_found(item, noise, data):
     assert [c[2] for c in items.copies(pa.array([text(words)]))] == ([score] if score >= decontaminate.THRESHOLD else [])
 
 
+def test_items_of_one_and_two_words_are_found():
+    items = decontaminate.Items([1, 2, 3, 4], ["Lone", "two words", "", "a longer item of words"])
+    items.keep_rare({})
+    got = list(items.copies(pa.array(["here is a lone word", "these two other words", "two, words!", "words alone", "", "lone"])))
+    assert [c[:3] for c in got] == [(0, 1, 1.0), (1, 2, 0.75), (2, 2, 1.0), (5, 1, 1.0)]
+
+
 def test_empty_texts_have_scores():
     s, spans = toxicity.scores(pa.array(["", None, "a"], pa.string()), toxicity.train(pa.array([], pa.string()), []))
     assert list(s) == [0.5] * 3 and spans == [[], [], []]
