@@ -136,6 +136,17 @@ def hash_shapes(data: np.ndarray, starts: np.ndarray, ends: np.ndarray) -> np.nd
         return mix(total[ends] - total[starts] + U64(0x5851F42D4C957F2D))
 
 
+def hash_runs(h: np.ndarray, first: np.ndarray) -> np.ndarray:
+    """A hash of each run of word hashes, in order; ``first`` has every run's first index (plus one end)."""
+    if len(first) < 2:
+        return np.zeros(0, U64)
+    up, down = _power_tables(len(h) + 1)
+    with np.errstate(over="ignore"):
+        total = np.zeros(len(h) + 1, U64)
+        np.cumsum(mix(h ^ U64(0x1234567)) * up[: len(h)], out=total[1:])
+        return mix((total[first[1:]] - total[first[:-1]]) * down[first[:-1]] + np.diff(first).astype(U64) * U64(0x9FB21C651E98DF25))
+
+
 def shingles(h: np.ndarray, first: np.ndarray, n: int) -> tuple[np.ndarray, np.ndarray]:
     """Hashes of all n-word shingles, in order, and the first index for each row (plus one).
 

@@ -14,6 +14,8 @@ from pyspark.sql import functions as F
 
 #: Sides with at most this many rows of a few numbers each may be broadcast (about 16 MB).
 BROADCAST_ROWS = 500_000
+#: The same for sides of one to three 64-bit numbers: at most 48 MB, about 150 MB as a hash table.
+BROADCAST_NUMBERS = 2_000_000
 
 
 def table(spark: SparkSession, sf_dir: str, name: str) -> DataFrame:
@@ -42,7 +44,19 @@ def materialise(df: DataFrame) -> DataFrame:
     path = scratch(spark)
     schema = df.schema
     df.write.option("compression", "zstd").parquet(path)
-    return spark.read.schema(schema).parquet(path)
+    out = spark.read.schema(schema).parquet(path)
+    out._scratch = path
+    return out
+
+
+def drop(*frames: DataFrame) -> None:
+    """Deletes the files of materialised tables that nothing reads any more; other tables are left alone."""
+    for df in frames:
+        path = getattr(df, "_scratch", None)
+        if path:
+            spark = df.sparkSession
+            at = spark._jvm.org.apache.hadoop.fs.Path(path)
+            at.getFileSystem(spark._jsc.hadoopConfiguration()).delete(at, True)
 
 
 def small(df: DataFrame, rows: int = BROADCAST_ROWS) -> DataFrame:
