@@ -1,11 +1,12 @@
 """Passages that repeat across documents: MinHash banding of paragraphs, exact Jaccard, components.
 
-A paragraph ends at a line break, and within a line at a sentence end that a hash of the last two words
-picks (one in ``CUT``), so a passage pasted into the midst of a line is cut as it is elsewhere. Paragraphs with
-one set of 5-word shingles are one node. Each node is posted under ``BANDS`` band keys. Keys with
-several nodes join every node to the key's smallest; pairs are confirmed on the full sets and clustered. In
-a second round, only keys whose nodes still lie in several clusters join the nodes outside
-the key's main cluster to all others, so no link is lost and no group is paired with itself whole.
+A paragraph ends at a line break and at every sentence end, so a passage pasted into the midst of a line is cut
+as it is elsewhere, but for its first and last words. Paragraphs with one sequence of words are one node. A node's bands are
+the smallest hashes of its 5-word shingles: of n shingles the first n - ceil(0.8 n) + 1 must hold one that a
+similar set's have too, so short sets need one to five bands and lose nothing, and with the bound of ``BANDS`` a long
+pair is lost with probability below 0.2 ** 6 (the smallest hashes of the two must all be in one of them only). Colliding nodes
+are confirmed on their full sets and clustered (``collide``). Runs of paragraphs with a copy in
+another document are passages.
 """
 
 from __future__ import annotations
@@ -14,52 +15,41 @@ from collections.abc import Iterator
 
 import numpy as np
 import pyarrow as pa
-from pyspark.sql import DataFrame, Window
+from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
+from . import collide
 from . import kernels as K
-from .components import components
-from .near_dedup import _confirm
-from .runtime import materialise, small
+from .runtime import BROADCAST_NUMBERS, drop, materialise, small
 
-WORDS, NUM, DEN = 5, 80, 100
-#: Bands of one row each: a pair at the threshold meets in none with probability 0.2 ** 6 < 1e-4.
+WORDS, PLAN = 5, collide.Plan(80, 100, 16, 1e-4)
+#: Bands of a node at most, one hash each.
 BANDS = 6
-CUT = 3
+#: With fewer shingles a set has no other set at the threshold: 3 of 4 is less than 0.8.
+LEAST_SHINGLES = 4
 #: Words from which a run of repeated paragraphs is a passage.
 MIN_WORDS = 25
-_A, _B = K.stream(BANDS, 31) | K.U64(1), K.stream(BANDS, 32)
+#: Bytes that a single paragraph without a copy may have between two paragraphs of a run.
+GAP_BYTES = 160
 _STOPS = np.zeros(256, bool)
 _STOPS[[ord(c) for c in ".!?"]] = True
 
 
 def paragraphs(part: np.ndarray, offs: np.ndarray):
-    """Paragraphs of a chunk: row, start and end byte, words, node, and shingles with their first indexes."""
+    """Paragraphs of a chunk: row, start and end byte, node; word hashes and each paragraph's first one (plus one)."""
     starts, ends, at = K.words(part, offs)
     if not len(starts):
         e = np.zeros(0, np.int64)
-        return e, e, e, e, np.zeros(0, K.U64), np.zeros(0, K.U64), np.zeros(1, np.int64)
+        return e, e, e, e, np.zeros(0, K.U64), np.zeros(1, np.int64)
     h = K.hash_words(part, starts, ends)
     lines = np.concatenate([[0], np.cumsum(part == 10)])
-    last = np.zeros(len(h), bool)
-    last[:-1] = lines[starts[1:]] != lines[ends[:-1]]
-    with np.errstate(over="ignore"):
-        pair = K.mix(h + K.mix(np.concatenate([[K.U64(0)], h[:-1]])))
-    last |= _STOPS[part[ends - 1]] & (pair % K.U64(CUT) == 0)
+    last = _STOPS[part[ends - 1]]
+    last[:-1] |= lines[starts[1:]] != lines[ends[:-1]]
     last[at[1:][at[1:] > at[:-1]] - 1] = True
     final = np.flatnonzero(last)
     first = np.concatenate([[0], final + 1])
-    x, begin = K.shingles(h, first, WORDS)
     row = np.searchsorted(at, final, side="right") - 1
-    owner = np.repeat(np.arange(len(final)), np.diff(begin))
-    order = np.lexsort((x, owner))
-    x, owner = x[order], owner[order]
-    keep = np.concatenate([[True], (x[1:] != x[:-1]) | (owner[1:] != owner[:-1])])
-    x, owner = x[keep], owner[keep]
-    begin = np.searchsorted(owner, np.arange(len(final) + 1))
-    with np.errstate(over="ignore"):
-        node = K.mix(np.add.reduceat(K.mix(x ^ K.U64(0x1234567)), begin[:-1]) + np.diff(begin).astype(K.U64))
-    return row, starts[first[:-1]] - offs[row], ends[final] - offs[row], np.diff(first), node, x, begin
+    return row, starts[first[:-1]] - offs[row], ends[final] - offs[row], K.signed(K.hash_runs(h, first)), h, first
 
 
 def _each(batches: Iterator[pa.RecordBatch]):
@@ -72,94 +62,137 @@ def _each(batches: Iterator[pa.RecordBatch]):
                 yield ids.slice(first, end - first).take(pa.array(got[0])), *got
 
 
+def _chosen(h: np.ndarray, first: np.ndarray, take: np.ndarray) -> tuple[np.ndarray, np.ndarray]:
+    """Shingles of some paragraphs, and each one's first (plus one)."""
+    sizes = np.diff(first)[take]
+    begin = np.concatenate([[0], np.cumsum(sizes)])
+    return K.shingles(h[np.repeat(first[take] - begin[:-1], sizes) + np.arange(begin[-1])], begin, WORDS)
+
+
+def _bands(x: np.ndarray, begin: np.ndarray) -> tuple[np.ndarray, np.ndarray]:
+    """Band keys of sets, and each set's first one (plus one); sets too small to be like another have none."""
+    owner = np.repeat(np.arange(len(begin) - 1), np.diff(begin))
+    short = x >> K.U64(20)  # 44 bits order the shingles and name the bands
+    if len(begin) <= 1 << 20:
+        both = np.sort((owner.astype(K.U64) << K.U64(44)) | short)
+        owner, short = (both >> K.U64(44)).astype(np.int64), both & K.U64((1 << 44) - 1)
+    else:
+        order = np.lexsort((short, owner))
+        owner, short = owner[order], short[order]
+    new = np.ones(len(short), bool)
+    new[1:] = (short[1:] != short[:-1]) | (owner[1:] != owner[:-1])
+    owner, short = owner[new], short[new]
+    first = np.searchsorted(owner, np.arange(len(begin)))
+    n = np.diff(first)
+    bands = np.where(n >= LEAST_SHINGLES, np.minimum(n + (-n * PLAN.num // PLAN.den) + 1, BANDS), 0)
+    keep = np.arange(len(owner)) - first[owner] < bands[owner]
+    return K.signed(K.mix(short[keep])), np.concatenate([[0], np.cumsum(bands)])
+
+
 def _post(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
-    """(key, node, low, high): low and high are the smallest and largest doc_id, on the first key only."""
-    for ids, _row, _s, _e, _n, node, x, begin in _each(batches):
+    """(node, low, high, bands): the smallest and largest doc_id of a chunk's nodes, and their band keys."""
+    for ids, _row, _s, _e, node, h, first in _each(batches):
         uniq, place, inverse = np.unique(node, return_index=True, return_inverse=True)
         doc = ids.to_numpy(zero_copy_only=False)
         low, high = np.full(len(uniq), np.iinfo(np.int64).max), np.full(len(uniq), np.iinfo(np.int64).min)
         np.minimum.at(low, inverse, doc)
         np.maximum.at(high, inverse, doc)
-        for k in range(BANDS):
-            with np.errstate(over="ignore"):
-                key = K.mix(np.minimum.reduceat(x * _A[k] + _B[k], begin[:-1])[place] + K.U64(k))
-            none = np.full(len(uniq), k > 0)
-            yield pa.RecordBatch.from_arrays(
-                [pa.array(K.signed(key)), pa.array(K.signed(uniq)), pa.array(low, pa.int64(), mask=none), pa.array(high, pa.int64(), mask=none)], names=["key", "node", "low", "high"]
-            )
+        keys, begin = _bands(*_chosen(h, first, place))
+        bands = pa.ListArray.from_arrays(pa.array(begin, pa.int32()), pa.array(keys))
+        yield pa.RecordBatch.from_arrays([pa.array(uniq), pa.array(low), pa.array(high), bands], names=["node", "low", "high", "bands"])
 
 
 def _sets(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
-    for _ids, _row, _s, _e, _n, node, x, begin in _each(batches):
+    for _ids, _row, _s, _e, node, h, first in _each(batches):
         uniq, place = np.unique(node, return_index=True)
-        yield pa.RecordBatch.from_arrays([pa.array(K.signed(uniq)), pa.array([x[begin[i] : begin[i + 1]].tobytes() for i in place], pa.binary())], names=["id", "own"])
+        x, begin = _chosen(h, first, place)
+        own = [np.unique(x[a:z]) for a, z in zip(begin[:-1], begin[1:])]
+        sizes = np.array([len(s) for s in own])
+        keep = pa.array(sizes >= LEAST_SHINGLES)
+        made = [pa.array(uniq), pa.array(sizes, pa.int64()), collide.fixed_binary(collide.signatures(x, begin, PLAN)), pa.array([s.tobytes() for s in own], pa.binary())]
+        yield pa.RecordBatch.from_arrays(made, names=["id", "n_shingles", "sig", "own"]).filter(keep)
 
 
 def _occurrences(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
-    for ids, row, s, e, n, node, _x, _begin in _each(batches):
+    for ids, row, s, e, node, _h, first in _each(batches):
         no = np.arange(len(row)) - np.searchsorted(row, row)
-        yield pa.RecordBatch.from_arrays([ids, *(pa.array(v, pa.int64()) for v in (no, s, e, n, K.signed(node)))], names=["doc_id", "no", "start", "end", "n_words", "node"])
-
-
-def _confirmed(docs: DataFrame, pairs: DataFrame, home: DataFrame) -> DataFrame:
-    """The pairs (a, b) of nodes whose full sets have a Jaccard similarity of NUM / DEN; ``home`` has a document of each node."""
-    nodes = materialise(pairs.select(F.col("a").alias("id")).union(pairs.select(F.col("b").alias("id"))).distinct())
-    where = materialise(home.join(small(nodes), F.col("node") == F.col("id"), "left_semi").select(F.col("low").alias("d")).distinct())
-    texts = docs.join(small(where), F.col("doc_id") == F.col("d"), "left_semi")
-    sets = texts.mapInArrow(_sets, "id long, own binary").join(small(nodes), "id", "left_semi").dropDuplicates(["id"])
-    sets = materialise(sets)
-    a, b = (sets.select(F.col("id").alias(c), F.col("own").alias(f"own_{c}")) for c in "ab")
-    return materialise(pairs.join(b, "b").join(a, "a").select("a", "b", "own_a", "own_b").mapInArrow(_confirm(NUM, DEN), "a long, b long").distinct())
-
-
-def substring_dedup(documents: DataFrame, min_words: int = MIN_WORDS) -> DataFrame:
+        yield pa.RecordBatch.from_arrays([ids, *(pa.array(v, pa.int64()) for v in (no, s, e, np.diff(first), node))], names=["doc_id", "no", "start", "end", "n_words", "node"])
+
+
+def _parts(min_words: int):
+    """Rows of documents' repeated paragraphs, whole documents together and in order, to parts of passages."""
+
+    def parts(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+        for table in collide.in_runs(batches, "doc_id"):
+            doc, no, start, end, n, cluster, first_doc = (table.column(c).to_numpy() for c in ("doc_id", "no", "start", "end", "n_words", "cluster", "first_doc"))
+            once = np.zeros(len(doc), bool)
+            order = np.lexsort((np.arange(len(doc)), cluster, doc))
+            once[order[np.concatenate([[True], (doc[order][1:] != doc[order][:-1]) | (cluster[order][1:] != cluster[order][:-1])])]] = True
+            removed = ~(once & (doc == first_doc))
+            other, step = np.ones(len(doc), bool), np.zeros(len(doc), np.int64)
+            other[1:], step[1:] = doc[1:] != doc[:-1], no[1:] - no[:-1]
+            near = np.zeros(len(doc), bool)
+            near[1:] = (step[1:] <= 1) | ((step[1:] == 2) & (start[1:] - end[:-1] <= GAP_BYTES))
+            run = np.cumsum(other | ~near)
+            turn = other | (step > 1)
+            turn[1:] |= removed[1:] != removed[:-1]
+            keep = np.bincount(run, n)[run] >= min_words
+            doc, start, end, n, cluster, removed, part = (v[keep] for v in (doc, start, end, n, cluster, removed, np.cumsum(turn)))
+            if not len(doc):
+                continue
+            at = np.flatnonzero(np.concatenate([[True], part[1:] != part[:-1]]))
+            own = np.repeat(np.arange(len(at)), np.diff(np.append(at, len(doc))))
+            order = np.lexsort((cluster, own))
+            new = np.concatenate([[True], (own[order][1:] != own[order][:-1]) | (cluster[order][1:] != cluster[order][:-1])])
+            cuts = np.concatenate([[0], np.cumsum(np.bincount(own[order][new], minlength=len(at)))])
+            clusters = pa.ListArray.from_arrays(pa.array(cuts, pa.int32()), pa.array(cluster[order][new]))
+            columns = [doc[at], np.minimum.reduceat(start, at), np.maximum.reduceat(end, at), np.add.reduceat(n, at), clusters, removed[at]]
+            yield pa.RecordBatch.from_arrays([c if isinstance(c, pa.Array) else pa.array(c) for c in columns], names=["doc_id", "start", "end", "n_words", "clusters", "removed"])
+
+    return parts
+
+
+def substring_dedup(documents: DataFrame, min_words: int = MIN_WORDS, block: int = collide.BLOCK) -> DataFrame:
     """Passages that repeat across documents, in parts to keep or remove: doc_id, start, end, n_words, clusters, removed.
 
-    A passage is a run of consecutive paragraphs, each with a near copy (5-word shingles, Jaccard 0.8) in
-    another document, of ``min_words`` words or more. It gives a row for each longest part whose paragraphs
+    A passage is a run of paragraphs of ``min_words`` words or more, each with a near copy (5-word
+    shingles, Jaccard 0.8) in another document; one paragraph of at most ``GAP_BYTES`` bytes without a copy may lie between two
+    of them. It gives a row for each longest part of neighbours that
     all are the first of their cluster (smallest doc_id, then place; removed is false) or all are not
     (removed is true), so a part may be shorter; start and end are byte offsets, clusters the
     sorted ids of its paragraphs' clusters. Documents without such a passage have no row. Null and empty
     texts have none; rows without a doc_id are left out, and rows that share one count as one document.
+    A paragraph of fewer than ``LEAST_SHINGLES`` shingles has no near copy but its own sequence of words. Other columns
+    are ignored; an empty table gives none.
     """
     docs = documents.select(F.col("doc_id").cast("long").alias("doc_id"), "text").where("doc_id is not null")
-    posts = materialise(docs.mapInArrow(_post, "key long, node long, low long, high long"))
-    keys = posts.groupBy("key").agg(F.min("node").alias("m"), F.max("node").alias("x")).where("m <> x").select("key", "m")
-    keys = materialise(keys)
-    shared = materialise(posts.select("key", "node").join(small(keys), "key").distinct())
-    home = materialise(posts.where("low is not null").groupBy("node").agg(F.min("low").alias("low"), F.max("high").alias("high")))
-    pairs = materialise(shared.where("node <> m").select(F.col("m").alias("a"), F.col("node").alias("b")).distinct())
-    links = _confirmed(docs, pairs, home)
-    roots = components(links)
-
-    labelled = shared.select("key", "node").join(small(roots.withColumnRenamed("node", "r")), F.col("node") == F.col("r"), "left").select("key", "node", F.coalesce("root", "node").alias("label"))
-    labelled = materialise(labelled)
-    mixed = (
-        labelled.groupBy("key", "label").agg(F.count("*").alias("n"))
-        .groupBy("key").agg(F.count("*").alias("labels"), F.max(F.struct("n", "label"))["label"].alias("main")).where("labels > 1").select("key", "main")
-    )
-    members = materialise(labelled.join(mixed, "key"))
-    outer = members.where("label <> main").select("key", F.col("node").alias("p"), F.col("label").alias("q"))
-    more = outer.join(members, "key").where((F.col("q") != F.col("label")) & ((F.col("label") == F.col("main")) | (F.col("p") < F.col("node"))))
-    more = more.select(F.least("p", "node").alias("a"), F.greatest("p", "node").alias("b")).distinct()
-    more = materialise(more.join(pairs.select(F.least("a", "b").alias("a"), F.greatest("a", "b").alias("b")), ["a", "b"], "left_anti"))
-    if more.limit(1).count():
-        roots = components(links.union(_confirmed(docs, more, home)))
-
-    cluster = home.join(roots.withColumnRenamed("node", "r"), F.col("node") == F.col("r"), "left").select("node", F.coalesce("root", "node").alias("cluster"), "low", "high")
-    cluster = materialise(cluster)
-    across = cluster.groupBy("cluster").agg(F.min("low").alias("lo"), F.max("high").alias("hi")).where("lo < hi").select("cluster")
-    wanted = materialise(cluster.select("node", "cluster").join(across, "cluster"))
-    found = materialise(docs.mapInArrow(_occurrences, "doc_id long, no long, start long, end long, n_words long, node long").join(small(wanted), "node").drop("node"))
-    first = found.groupBy("cluster").agg(F.min(F.struct("doc_id", "no", "start")).alias("f")).select(F.col("f.doc_id").alias("fd"), F.col("f.no").alias("fn"), F.lit(True).alias("first")).distinct()
-    marked = found.join(first, (F.col("doc_id") == F.col("fd")) & (F.col("no") == F.col("fn")), "left").distinct()
-    by_place = Window.partitionBy("doc_id").orderBy("no", "start")
-    marked = marked.withColumn("removed", F.col("first").isNull()).withColumn("run", F.col("no") - F.row_number().over(by_place))
-    in_run = Window.partitionBy("doc_id", "run")
-    in_order = in_run.orderBy("no", "start")
-    turns = (F.col("removed") != F.lag("removed").over(in_order)).cast("int")
-    parts = marked.withColumn("words", F.sum("n_words").over(in_run)).where(F.col("words") >= min_words)
-    parts = parts.withColumn("turn", F.coalesce(turns, F.lit(0))).withColumn("part", F.sum("turn").over(in_order))
-    return parts.groupBy("doc_id", "run", "part", "removed").agg(
-        F.min("start").alias("start"), F.max("end").alias("end"), F.sum("n_words").alias("n_words"), F.sort_array(F.collect_set("cluster")).alias("clusters")
-    ).select("doc_id", "start", "end", "n_words", "clusters", "removed")
+    marks = materialise(docs.mapInArrow(_post, "node long, low long, high long, bands array<long>"))
+    home = materialise(marks.groupBy("node").agg(F.min("low").alias("low"), F.max("high").alias("high")))
+    zero = F.lit(0).cast("long")
+    posts = marks.select(F.col("node").alias("doc_id"), zero.alias("p1"), F.lit(-1).alias("c0"), F.explode("bands").alias("key"))
+    made: list[DataFrame] = []
+
+    def payload_of(ids: DataFrame) -> DataFrame:
+        nodes = small(ids.withColumnRenamed("doc_id", "i"), BROADCAST_NUMBERS)
+        where = materialise(home.join(nodes, F.col("node") == F.col("i"), "left_semi").select(F.col("low").alias("d")).distinct())
+        texts = docs.join(small(where), F.col("doc_id") == F.col("d"), "left_semi")
+        sets = texts.mapInArrow(_sets, "id long, n_shingles long, sig binary, own binary").join(nodes, F.col("id") == F.col("i"), "left_semi")
+        made.append(materialise(sets.dropDuplicates(["id"])))
+        return made[0].select(F.col("id").alias("doc_id"), zero.alias("d1"), "n_shingles", "sig")
+
+    def sets_of(ids: DataFrame) -> DataFrame:
+        own = made[0].select("id", zero.alias("d1"), "own")
+        return own.join(small(ids.withColumnRenamed("doc_id", "i"), BROADCAST_NUMBERS), F.col("id") == F.col("i"), "left_semi")
+
+    roots = collide.linked(posts, payload_of, sets_of, PLAN, block)
+    drop(marks, *made)
+    alone = home.where("low < high").join(small(roots.select(F.col("node").alias("r")), BROADCAST_NUMBERS), F.col("node") == F.col("r"), "left_anti")
+    with_root = home.join(small(roots.withColumnRenamed("node", "r"), BROADCAST_NUMBERS), F.col("node") == F.col("r"))
+    members = materialise(with_root.select("node", F.col("root").alias("cluster"), "low", "high"))
+    clusters = members.groupBy("cluster").agg(F.min("low").alias("first_doc"), F.max("high").alias("last_doc")).where("first_doc < last_doc")
+    wanted = members.select("node", "cluster").join(clusters.select("cluster", "first_doc"), "cluster").select("node", "cluster", "first_doc")
+    wanted = materialise(wanted.unionByName(alone.select("node", F.col("node").alias("cluster"), F.col("low").alias("first_doc"))))
+    drop(home, roots, members)
+    found = docs.mapInArrow(_occurrences, "doc_id long, no long, start long, end long, n_words long, node long").join(small(wanted, BROADCAST_NUMBERS), "node").drop("node")
+    together = found.repartition("doc_id").sortWithinPartitions("doc_id", "no", "start")
+    return together.mapInArrow(_parts(min_words), "doc_id long, start long, end long, n_words long, clusters array<long>, removed boolean")
