@@ -1,293 +1,104 @@
 """Near-duplicate documents by an inverted join on MinHash signature coordinates.
 
-A document's signature has ``COORDINATES`` values. It is posted under the (coordinate, value)
-pairs of a short prefix of them; documents that meet under a pair have their equal coordinates
-counted over the whole signature (the other coordinates are merged by lookup, never posted), and
-pairs with at least T equal ones are candidates. Prefix length and T follow from the similarity:
-each loses a pair at the threshold with probability below ``MISS``. Candidates are confirmed on
-the full shingle sets.
-
-Links, not all pairs, are wanted, so the work is done in two rounds. In the first, members of a
-posting list are paired with the most typical member only, which joins a large group of near
-copies by as many pairs as it has members. In the second, just lists whose members fall into
-several components are looked at: every member outside the list's main component is counted
-against all others, in blocks. After it each pair of a list is either in one component or checked.
+Documents with one shingle set are one node, found by a digest of the set. Nodes are posted under the
+(coordinate, value) pairs of a short prefix of their signatures; in each posting list the equal coordinates of
+whole signatures are counted (the other coordinates are never posted), and pairs with at least T of them are
+confirmed on the shingle sets. ``collide`` has the lists, and says how they stay bounded; prefix
+length and T follow from the similarity: each loses a pair at the threshold with probability below ``MISS``.
 """
 
 from __future__ import annotations
 
-import math
 from collections.abc import Iterator
 
 import numpy as np
-import pandas as pd
 import pyarrow as pa
 from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
+from . import collide
 from . import kernels as K
-from .components import components
-from .runtime import materialise, small
+from .runtime import drop, materialise, small
 
-COORDINATES = 64
+COORDINATES = 128
 MISS = 1e-6
-#: Members of one posting list that one task of the second round handles together.
-BLOCK = 2048
-#: Typical members that the first round picks from one posting list.
-PIVOTS = 4
-OWNER_ROWS = 200_000
-
 
-def plan(similarity: float) -> tuple[int, int]:
-    """(prefix length, least number of equal coordinates) for a similarity."""
-    prefix = max(1, math.ceil(math.log(MISS) / math.log(1 - similarity)))
-    tail, least = 0.0, 0
-    while True:
-        p = math.comb(COORDINATES, least) * similarity**least * (1 - similarity) ** (COORDINATES - least)
-        if tail + p > MISS:
-            return prefix, least
-        tail, least = tail + p, least + 1
 
+def _chunks(batches: Iterator[pa.RecordBatch], n: int):
+    """doc_ids, shingle hashes and each row's first one (plus one), by chunks."""
+    for batch in batches:
+        data, offsets = K.buffers(batch.column("text"))
+        for first, end, part, offs in K.chunks(data, offsets):
+            starts, ends, at = K.words(part, offs)
+            yield batch.slice(first, end - first), *K.shingles(K.hash_words(part, starts, ends), at, n)
 
-_A = K.stream(COORDINATES, 5) | K.U64(1)
-_B = K.stream(COORDINATES, 6)
 
+def _own(x: np.ndarray, begin: np.ndarray) -> list[np.ndarray]:
+    return [np.unique(x[a:z]) for a, z in zip(begin[:-1], begin[1:])]
 
-def signatures(x: np.ndarray, begin: np.ndarray) -> np.ndarray:
-    """Signatures (rows x coordinates, 32 bits each) of runs of shingle hashes; empty runs give zeros."""
-    full = np.flatnonzero(np.diff(begin))
-    out = np.zeros((len(begin) - 1, COORDINATES), np.uint32)
-    if len(full):
-        with np.errstate(over="ignore"):
-            for i in range(COORDINATES):
-                out[full, i] = np.minimum.reduceat(x * _A[i] + _B[i], begin[full]) >> K.U64(32)
-    return out
 
-
-def _scan(n: int, prefix: int):
+def _scan(n: int, plan: collide.Plan):
     def scan(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
-        for batch in batches:
-            data, offsets = K.buffers(batch.column("text"))
-            for first, end, part, offs in K.chunks(data, offsets):
-                starts, ends, at = K.words(part, offs)
-                x, begin = K.shingles(K.hash_words(part, starts, ends), at, n)
-                sig = signatures(x, begin)
-                sizes, one, two = [], [], []
-                for r in range(end - first):
-                    own = np.unique(x[begin[r] : begin[r + 1]])
-                    sizes.append(len(own))
-                    one.append(int(own.sum(dtype=K.U64)))
-                    two.append(int(K.mix(own).sum(dtype=K.U64)))
-                yield pa.RecordBatch.from_arrays(
-                    [
-                        batch.column("doc_id").slice(first, end - first).cast(pa.int64()),
-                        pa.array(sizes, pa.int64()),
-                        pa.array(np.array(one, K.U64).view(np.int64)),
-                        pa.array(np.array(two, K.U64).view(np.int64)),
-                        pa.array([row.tobytes() for row in np.ascontiguousarray(sig[:, :prefix])], pa.binary()),
-                        pa.array([row.tobytes() for row in (sig[:, prefix:] & 255).astype(np.uint8)], pa.binary()),
-                    ],
-                    names=["doc_id", "n_shingles", "d1", "d2", "head", "tail"],
-                )
+        for batch, x, begin in _chunks(batches, n):
+            own = _own(x, begin)
+            yield pa.RecordBatch.from_arrays(
+                [
+                    batch.column("doc_id").cast(pa.int64()),
+                    pa.array([len(s) for s in own], pa.int64()),
+                    pa.array(np.array([s.sum(dtype=K.U64) for s in own], K.U64).view(np.int64)),
+                    pa.array(np.array([K.mix(s).sum(dtype=K.U64) for s in own], K.U64).view(np.int64)),
+                    collide.fixed_binary(collide.signatures(x, begin, plan)),
+                ],
+                names=["doc_id", "n_shingles", "d1", "d2", "sig"],
+            )
 
     return scan
 
 
 def _sets(n: int):
     def scan(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
-        for batch in batches:
-            data, offsets = K.buffers(batch.column("text"))
-            for first, end, part, offs in K.chunks(data, offsets):
-                starts, ends, at = K.words(part, offs)
-                x, begin = K.shingles(K.hash_words(part, starts, ends), at, n)
-                sets = [np.unique(x[begin[r] : begin[r + 1]]).tobytes() for r in range(end - first)]
-                yield pa.RecordBatch.from_arrays([batch.column("doc_id").slice(first, end - first).cast(pa.int64()), pa.array(sets, pa.binary())], names=["id", "own"])
+        for batch, x, begin in _chunks(batches, n):
+            own = _own(x, begin)
+            d1 = np.array([s.sum(dtype=K.U64) for s in own], K.U64).view(np.int64)
+            yield pa.RecordBatch.from_arrays([batch.column("doc_id").cast(pa.int64()), pa.array(d1), pa.array([s.tobytes() for s in own], pa.binary())], names=["id", "d1", "own"])
 
     return scan
 
 
-def _record(prefix: int) -> np.dtype:
-    return np.dtype([("key", "<u8"), ("doc", "<i8"), ("n", "<i8"), ("label", "<i8"), ("left", "?"), ("head", "<u4", (prefix,)), ("tail", "u1", (COORDINATES - prefix,))])
-
-
-def _posts(pdf: pd.DataFrame, prefix: int) -> np.ndarray:
-    """One record for each document and prefix coordinate."""
-    rec = np.zeros((len(pdf), prefix), _record(prefix))
-    head = np.frombuffer(b"".join(pdf["head"]), "<u4").reshape(len(pdf), prefix)
-    rec["key"] = K.mix(head.astype(K.U64) | (np.arange(prefix, dtype=K.U64) << K.U64(32)))
-    rec["doc"], rec["n"] = pdf["doc_id"].to_numpy()[:, None], pdf["n_shingles"].to_numpy()[:, None]
-    rec["head"] = head[:, None, :]
-    rec["tail"] = np.frombuffer(b"".join(pdf["tail"]), "u1").reshape(len(pdf), 1, COORDINATES - prefix)
-    return rec.ravel()
-
-
-def _equal(one: np.ndarray, many: np.ndarray) -> np.ndarray:
-    return (many["head"] == one["head"]).sum(axis=1) + (many["tail"] == one["tail"]).sum(axis=1)
-
-
-def _alike(one: np.ndarray, many: np.ndarray, least: int, num: int, den: int) -> np.ndarray:
-    """Which of many may be linked with one: enough equal coordinates and sizes that allow it."""
-    low, high = np.minimum(one["n"], many["n"]), np.maximum(one["n"], many["n"])
-    return (low * den >= high * num) & (_equal(one, many) >= least)
-
-
-def _typical(rec: np.ndarray) -> int:
-    """The member that agrees with the most common value in the most coordinates; ties: smallest doc."""
-    score = np.zeros(len(rec), np.int64)
-    for c in range(rec["head"].shape[1]):
-        values, inverse, counts = np.unique(rec["head"][:, c], return_inverse=True, return_counts=True)
-        score += counts[inverse]
-    return int(np.lexsort((rec["doc"], -score))[0])
-
-
-def _runs(rec: np.ndarray, key) -> Iterator[np.ndarray]:
-    order = np.argsort(key, kind="stable")
-    rec, key = rec[order], key[order]
-    cuts = np.flatnonzero(np.concatenate([[True], key[1:] != key[:-1], [True]]))
-    for a, b in zip(cuts[:-1][np.diff(cuts) > 1], cuts[1:][np.diff(cuts) > 1]):
-        yield rec[a:b]
-
-
-def _stars(rec: np.ndarray, least: int, num: int, den: int) -> tuple[list[tuple[int, int]], np.ndarray]:
-    """Pairs of members with typical members of their lists, and the keys and members left to post on."""
-    pairs: list[tuple[int, int]] = []
-    gone = [np.zeros((0,), rec.dtype)]
-    for run in _runs(rec, rec["key"]):
-        rest = run
-        for _ in range(PIVOTS):
-            if len(rest) < 2:
-                break
-            pivot = rest[_typical(rest)]
-            near = _alike(pivot, rest, least, num, den) & (rest["doc"] != pivot["doc"])
-            pairs += [(min(int(d), int(pivot["doc"])), max(int(d), int(pivot["doc"]))) for d in rest["doc"][near]]
-            gone.append(rest[near])
-            rest = rest[~near & (rest["doc"] != pivot["doc"])]
-    out = np.concatenate(gone)
-    taken = pd.MultiIndex.from_arrays([out["key"], out["doc"]])
-    keep = ~pd.MultiIndex.from_arrays([rec["key"], rec["doc"]]).isin(taken) if len(out) else np.ones(len(rec), bool)
-    return pairs, rec[keep]
-
-
-def _pairs_frame(pairs) -> pd.DataFrame:
-    pairs = sorted(set(pairs))
-    return pd.DataFrame({"a": np.array([p[0] for p in pairs], np.int64), "b": np.array([p[1] for p in pairs], np.int64)})
-
-
-def _first_round(prefix: int, least: int, num: int, den: int, owners: int):
-    """Local stars of a batch; what is left is posted to the owners of the keys."""
-
-    def local(frames: Iterator[pd.DataFrame]) -> Iterator[pd.DataFrame]:
-        for pdf in frames:
-            pairs, rest = _stars(_posts(pdf, prefix), least, num, den)
-            got = _pairs_frame(pairs)
-            yield got.assign(owner=-1, posts=None)[["owner", "a", "b", "posts"]]
-            owner = (rest["key"] % K.U64(owners)).astype(np.int64)
-            order = np.argsort(owner, kind="stable")
-            rest, owner = rest[order], owner[order]
-            cuts = np.flatnonzero(np.concatenate([[True], owner[1:] != owner[:-1], [True]])) if len(rest) else np.zeros(1, int)
-            for a, b in zip(cuts[:-1], cuts[1:]):
-                yield pd.DataFrame({"owner": [int(owner[a])], "a": [-1], "b": [-1], "posts": [rest[a:b].tobytes()]})
-
-    def owner(pdf: pd.DataFrame) -> pd.DataFrame:
-        rec = np.frombuffer(b"".join(pdf["posts"]), _record(prefix))
-        return _pairs_frame(_stars(rec, least, num, den)[0])
-
-    return local, owner
-
-
-def _second_round(prefix: int, least: int, num: int, den: int):
-    """Counts every member outside its list's main component against the block's members."""
-
-    def check(pdf: pd.DataFrame) -> pd.DataFrame:
-        rec = np.zeros(len(pdf), _record(prefix))
-        rec["key"] = pdf["key"].to_numpy(np.int64).view(K.U64)
-        rec["doc"], rec["n"], rec["label"], rec["left"] = pdf["doc_id"], pdf["n_shingles"], pdf["label"], pdf["probe"]
-        rec["head"] = np.frombuffer(b"".join(pdf["head"]), "<u4").reshape(len(pdf), prefix)
-        rec["tail"] = np.frombuffer(b"".join(pdf["tail"]), "u1").reshape(len(pdf), COORDINATES - prefix)
-        outer, pairs = pdf["outer"].to_numpy(bool), []
-        order = np.argsort(rec["key"], kind="stable")
-        rec, outer = rec[order], outer[order]
-        cuts = np.flatnonzero(np.concatenate([[True], rec["key"][1:] != rec["key"][:-1], [True]]))
-        for a, b in zip(cuts[:-1], cuts[1:]):
-            own, out = rec[a:b], outer[a:b]
-            members, member_out, probes = own[~own["left"]], out[~own["left"]], own[own["left"]]
-            for x in probes:
-                near = _alike(x, members, least, num, den) & (members["label"] != x["label"]) & (~member_out | (members["doc"] > x["doc"]))
-                pairs += [(min(int(x["doc"]), int(d)), max(int(x["doc"]), int(d))) for d in members["doc"][near]]
-        return _pairs_frame(pairs)
-
-    return check
-
-
-def _confirm(num: int, den: int):
-    def confirm(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
-        for batch in batches:
-            good = []
-            for x, y in zip(batch.column("own_a"), batch.column("own_b")):
-                p, q = (np.frombuffer(v.as_buffer(), K.U64) for v in (x, y))
-                at = np.searchsorted(q, p)
-                both = int((q[np.minimum(at, len(q) - 1)] == p).sum()) if len(q) else 0
-                good.append(den * both >= num * (len(p) + len(q) - both) and both > 0)
-            yield batch.select(["a", "b"]).filter(pa.array(good, pa.bool_()))
-
-    return confirm
-
-
-def confirmed(documents: DataFrame, pairs: DataFrame, n: int, num: int, den: int) -> DataFrame:
-    """The pairs whose full shingle sets have den * intersection >= num * union."""
-    ids = pairs.select(F.col("a").alias("x")).union(pairs.select(F.col("b").alias("x"))).distinct()
-    texts = documents.select("doc_id", "text").join(small(materialise(ids)), F.col("doc_id") == F.col("x"), "left_semi")
-    sets = materialise(texts.mapInArrow(_sets(n), "id long, own binary"))
-    a, b = (sets.select(F.col("id").alias(c), F.col("own").alias(f"own_{c}")) for c in "ab")
-    return materialise(pairs.join(b, "b").join(a, "a").select("a", "b", "own_a", "own_b").mapInArrow(_confirm(num, den), "a long, b long").distinct())
-
-
-def near_dedup(documents: DataFrame, words: int = 5, num: int = 80, den: int = 100) -> DataFrame:
+def near_dedup(documents: DataFrame, words: int = 5, num: int = 80, den: int = 100, block: int = collide.BLOCK) -> DataFrame:
     """One row per document: doc_id, n_shingles, component_id, kept.
 
     A document's set holds its distinct ``words``-word shingles (A-Z lower-cased, words as in
-    ``kernels``), the whole sequence if it has fewer words, nothing if it has none. Documents with
+    ``kernels``), the whole sequence if it has fewer words, nothing if it has none; shingles are told apart by
+    64-bit hashes, and whole sets by two further sums of them. Documents with
     den * intersection >= num * union are linked; component_id is the smallest doc_id reachable.
     Null and empty texts are linked with nothing. A row without a doc_id has a null component_id and
-    is kept. Rows that share a doc_id count as one document. Other columns are ignored.
+    is kept. Rows that share a doc_id are one document, linked with what any of their texts is linked with.
+    Rows that repeat wholly give a row each. Other columns are ignored; an empty table gives none.
     """
-    prefix, least = plan(num / den)
+    plan = collide.Plan(num, den, COORDINATES, MISS)
     docs = documents.select(F.col("doc_id").cast("long").alias("doc_id"), "text")
-    marks = materialise(docs.mapInArrow(_scan(words, prefix), "doc_id long, n_shingles long, d1 long, d2 long, head binary, tail binary"))
+    marks = docs.mapInArrow(_scan(words, plan), "doc_id long, n_shingles long, d1 long, d2 long, sig binary")
+    marks = materialise(marks.withColumn("pid", F.spark_partition_id()))
+    digest = ["d1", "d2", "n_shingles"]
     some = marks.where("n_shingles > 0 and doc_id is not null")
-    reps = materialise(
-        some.groupBy("d1", "d2", "n_shingles").agg(F.min_by(F.struct("doc_id", "head", "tail"), "doc_id").alias("r")).select("d1", "d2", "n_shingles", "r.*")
-    )
-    owners = max(8, reps.count() * prefix // OWNER_ROWS)
-    local, owner = _first_round(prefix, least, num, den, owners)
-    first = materialise(reps.select("doc_id", "n_shingles", "head", "tail").mapInPandas(local, "owner int, a long, b long, posts binary"))
-    met = first.where("owner >= 0").groupBy("owner").applyInPandas(owner, "a long, b long")
-    pairs = materialise(first.where("owner < 0").select("a", "b").union(met).distinct())
-    links = confirmed(docs, pairs, words, num, den)
-    roots = components(links)
+    reps = some.groupBy(digest).agg(F.min_by(F.struct("doc_id", "sig"), "doc_id").alias("r"), F.count("*").alias("copies"))
+    reps = materialise(reps.select(*digest, "r.doc_id", "r.sig", "copies"))
+
+    def sets_of(ids: DataFrame) -> DataFrame:
+        return docs.join(small(ids.withColumnRenamed("doc_id", "i")), F.col("doc_id") == F.col("i"), "left_semi").mapInArrow(_sets(words), "id long, d1 long, own binary").distinct()
 
-    # second round
-    labelled = reps.join(roots, F.col("doc_id") == F.col("node"), "left").select("doc_id", "n_shingles", "head", "tail", F.coalesce("root", "doc_id").alias("label"))
-    coordinate = F.explode(F.sequence(F.lit(0), F.lit(prefix - 1)))
-    posts = labelled.select("*", coordinate.alias("c")).withColumn("key", F.xxhash64("c", F.substring("head", F.col("c") * 4 + 1, 4)))
-    lists = (
-        posts.groupBy("key", "label").agg(F.count("*").alias("n"))
-        .groupBy("key").agg(F.count("*").alias("labels"), F.sum("n").alias("members"), F.max(F.struct("n", (-F.col("label")).alias("l"))).alias("main"))
-        .where("labels > 1")
-        .select("key", (-F.col("main.l")).alias("main_label"), F.ceil(F.col("members") / BLOCK).cast("int").alias("blocks"))
-    )
-    mixed = posts.join(small(materialise(lists)), "key").withColumn("outer", F.col("label") != F.col("main_label"))
-    member = mixed.select("*", F.lit(False).alias("probe"), F.pmod(F.xxhash64("doc_id"), F.col("blocks")).cast("int").alias("block"))
-    probe = mixed.where("outer").select("*", F.lit(True).alias("probe"), F.explode(F.sequence(F.lit(0), F.col("blocks") - 1)).alias("block"))
-    columns = ["key", "block", "doc_id", "n_shingles", "label", "outer", "probe", "head", "tail"]
-    # lists are gathered by a hash of (key, block), some lists to a task
-    together = member.select(columns).union(probe.select(columns)).withColumn("key", F.xxhash64("key", "block")).withColumn("owner", F.pmod("key", F.lit(owners * 8)))
-    more = materialise(together.groupBy("owner").applyInPandas(_second_round(prefix, least, num, den), "a long, b long").distinct().join(pairs, ["a", "b"], "left_anti"))
-    if more.limit(1).count():
-        roots = components(links.union(confirmed(docs, more, words, num, den)))
-    classes = materialise(
-        reps.join(roots, F.col("doc_id") == F.col("node"), "left").select(F.col("d1").alias("e1"), F.col("d2").alias("e2"), F.col("n_shingles").alias("e3"), F.coalesce("root", "doc_id").alias("component"))
-    )
-    out = marks.join(classes, (F.col("d1") == F.col("e1")) & (F.col("d2") == F.col("e2")) & (F.col("n_shingles") == F.col("e3")), "left")
+    def payload_of(ids: DataFrame) -> DataFrame:
+        return reps.select("doc_id", "d1", "n_shingles", "sig").join(small(ids.withColumnRenamed("doc_id", "i")), F.col("doc_id") == F.col("i"), "left_semi")
+
+    roots = collide.linked(collide.posted(reps, plan), payload_of, sets_of, plan, block)
+    # rows whose component isn't their own doc_id; a digest with many copies is first one row for each partition
+    moved = reps.join(roots, F.col("doc_id") == F.col("node"), "left").where("copies > 1 or root is not null").select(*digest, F.coalesce("root", "doc_id").alias("component"))
+    local = marks.where("n_shingles > 0").groupBy("pid", *digest).agg(F.lit(1).alias("one")).drop("one")
+    back = local.join(small(materialise(moved)), digest).withColumnsRenamed({c: f"_{c}" for c in ("pid", *digest)})
+    out = marks.join(back, [F.col(c) == F.col(f"_{c}") for c in ("pid", *digest)], "left")
     component = F.when(F.col("doc_id").isNotNull(), F.coalesce("component", "doc_id"))
-    return out.select("doc_id", "n_shingles", component.alias("component_id"), F.coalesce(component == F.col("doc_id"), F.lit(True)).alias("kept"))
+    out = out.select("doc_id", "n_shingles", component.alias("component_id"), F.coalesce(component == F.col("doc_id"), F.lit(True)).alias("kept"))
+    out = materialise(out)
+    drop(marks, reps, roots)
+    return out
