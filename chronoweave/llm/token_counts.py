@@ -16,6 +16,7 @@ import pyarrow as pa
 from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
+from . import kernels as K
 from .runtime import BROADCAST_ROWS, materialise, scratch
 
 BATCH_BYTES = 1 << 20
@@ -33,17 +34,15 @@ def tokenizer(path: str):
     return t
 
 
-def encoded(path: str, texts: list[str]) -> Iterator[list[int]]:
+def encoded(path: str, texts: list[str]) -> list[list[int]]:
     """Token ids of each text, without begin, end or added special tokens; about 1 MB at a time."""
-    t, part, size = tokenizer(path), [], 0
-    for text in texts:
-        part.append(text or "")
-        size += len(part[-1])
-        if size >= BATCH_BYTES:
-            yield from (e.ids for e in t.encode_batch_fast(part, add_special_tokens=False))
-            part, size = [], 0
-    if part:
-        yield from (e.ids for e in t.encode_batch_fast(part, add_special_tokens=False))
+    t, out, first, size = tokenizer(path), [], 0, 0
+    for k, text in enumerate(texts, 1):
+        size += len(text or "")
+        if size >= BATCH_BYTES or k == len(texts):
+            out += [e.ids for e in t.encode_batch_fast([x or "" for x in texts[first:k]], add_special_tokens=False)]
+            first, size = k, 0
+    return out
 
 
 def file_digest(path: str) -> bytes:
@@ -54,8 +53,11 @@ def file_digest(path: str) -> bytes:
 def _counter(path: str):
     def count(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         for b in batches:
-            n = [len(ids) for ids in encoded(path, b.column("text").to_pylist())]
-            yield pa.RecordBatch.from_arrays([b.column("content"), pa.array(n, pa.int64())], names=["content", "n_tokens"])
+            data, offsets = K.buffers(b.column("text"))
+            for first, end, part, offs in K.chunks(data, offsets):
+                raw = part.tobytes()
+                n = [len(ids) for ids in encoded(path, [raw[a:z].decode("utf-8", "replace") for a, z in zip(offs[:-1], offs[1:])])]
+                yield pa.RecordBatch.from_arrays([b.column("content").slice(first, end - first), pa.array(n, pa.int64())], names=["content", "n_tokens"])
 
     return count
 

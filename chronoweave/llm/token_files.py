@@ -17,11 +17,15 @@ from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 from pyspark.sql import types as T
 
-from .runtime import materialise, scratch
-from .token_counts import encoded
+from . import kernels as K
+from . import pieces
+from .runtime import drop, materialise, scratch
+from .token_counts import tokenizer
 
 #: Ids of one block, about; a longer document has a block of its own.
 BLOCK_IDS = 1 << 18
+#: Ids of one shard, about: what one task sorts and writes (2 or 4 bytes each before coding).
+SHARD_IDS = 1 << 23
 #: Lengths (1 to 4) of the four values of every control byte.
 LENGTHS = ((np.arange(256)[:, None] >> np.array([0, 2, 4, 6])) & 3).astype(np.uint8) + 1
 
@@ -48,31 +52,38 @@ def unpack(n: int, control: bytes, data: bytes) -> np.ndarray:
     return out
 
 
-def _encode(path: str, end_id: int):
+def width(path: str, end_id: int) -> str:
+    """The little-endian type that holds every id of a vocabulary."""
+    return "<u2" if max(tokenizer(path).get_vocab_size(), end_id + 1) <= 1 << 16 else "<u4"
+
+
+def _encode(path: str, end_id: int, kind: str):
+    """Ids of every text as numbers of the given type; each task's last row has no text but its counts of ids."""
+
     def encode(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+        total = np.zeros(1, np.int64)
         for b in batches:
-            out = [np.array([*ids, end_id], "<u4") for ids in encoded(path, b.column("text").to_pylist())]
-            packed = [pack(x) for x in out]
-            yield pa.RecordBatch.from_arrays(
-                [b.column("doc_id"), pa.array([len(x) for x in out], pa.int64()), pa.array([p[0] for p in packed], pa.binary()), pa.array([p[1] for p in packed], pa.binary())],
-                names=["doc_id", "n", "control", "data"],
-            )
+            data, offsets = K.buffers(b.column("text"))
+            for first, end, part, offs in K.chunks(data, offsets, pieces.CHUNK):
+                flat, sizes = pieces.ids_of(path, part, offs, end_id)
+                seen = np.bincount(flat, minlength=len(total))
+                seen[: len(total)] += total
+                total = seen
+                yield _coded(b.column("doc_id").slice(first, end - first), sizes, flat.astype(kind))
+        ids = np.flatnonzero(total)
+        counts = pa.array([np.stack([ids, total[ids]]).astype("<i8").tobytes()], pa.binary())
+        yield pa.RecordBatch.from_arrays([pa.nulls(1, pa.int64()), pa.array([0], pa.int64()), pa.nulls(1, pa.binary()), counts], names=["doc_id", "n", "ids", "counts"])
 
     return encode
 
 
-def _frequencies(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
-    total = np.zeros(1, np.int64)
-    for b in batches:
-        for n, c, d in zip(b.column("n").to_pylist(), b.column("control").to_pylist(), b.column("data").to_pylist()):
-            seen = np.bincount(unpack(n, c, d), minlength=len(total))
-            seen[: len(total)] += total
-            total = seen
-    ids = np.flatnonzero(total)
-    yield pa.RecordBatch.from_arrays([pa.array(ids, pa.int64()), pa.array(total[ids], pa.int64())], names=["id", "n"])
+def _coded(doc_id: pa.Array, sizes: np.ndarray, flat: np.ndarray) -> pa.RecordBatch:
+    offsets = np.concatenate([[0], np.cumsum(sizes)]) * flat.itemsize
+    ids = pa.Array.from_buffers(pa.large_binary(), len(sizes), [None, pa.py_buffer(offsets.astype(np.int64)), pa.py_buffer(flat)]).cast(pa.binary())
+    return pa.RecordBatch.from_arrays([doc_id, pa.array(sizes, pa.int64()), ids, pa.nulls(len(sizes), pa.binary())], names=["doc_id", "n", "ids", "counts"])
 
 
-def _writer(rank_of: np.ndarray):
+def _writer(rank_of: np.ndarray, kind: str):
     def write(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         from pyspark import TaskContext
 
@@ -88,10 +99,10 @@ def _writer(rank_of: np.ndarray):
             return pa.RecordBatch.from_pydict(row, schema=_ARROW)
 
         for b in batches:
-            for d, n, c, x in zip(b.column("doc_id").to_pylist(), b.column("n").to_pylist(), b.column("control").to_pylist(), b.column("data").to_pylist()):
+            for d, x in zip(b.column("doc_id").to_pylist(), b.column("ids")):
                 docs.append(d)
-                parts.append(rank_of[unpack(n, c, x)])
-                size += n
+                parts.append(rank_of[np.frombuffer(x.as_buffer(), kind)])
+                size += len(parts[-1])
                 if size >= BLOCK_IDS:
                     yield out()
         if docs:
@@ -110,20 +121,26 @@ def write_tokens(documents: DataFrame, tokenizer_path: str, end_id: int, path: s
     """Encodes all ``documents`` and writes blocks and ranks below ``path``, in ascending doc_id order.
 
     Null texts count as empty (just the end id). Rows without a doc_id come first; rows that share
-    a doc_id follow one another, ordered by length and ids. Other columns are ignored. The rank table
-    has a row for each id used, so it is bounded by the vocabulary.
+    a doc_id follow one another, ordered by length and ids. Other columns are ignored. The driver takes one
+    table of counts from each task in turn, and makes the rank table; both are bounded by the vocabulary.
     """
     docs = documents.select(F.col("doc_id").cast("long").alias("doc_id"), F.coalesce("text", F.lit("")).alias("text"))
-    coded = materialise(docs.mapInArrow(_encode(tokenizer_path, end_id), "doc_id long, n long, control binary, data binary"))
-    counts = coded.select("n", "control", "data").mapInArrow(_frequencies, "id long, n long").groupBy("id").agg(F.sum("n").alias("n")).collect()
-    by_rank = [r["id"] for r in sorted(counts, key=lambda r: (-r["n"], r["id"]))]
-    rank_of = np.zeros(max(by_rank, default=0) + 1, np.uint32)
+    kind = width(tokenizer_path, end_id)
+    coded = materialise(docs.mapInArrow(_encode(tokenizer_path, end_id, kind), "doc_id long, n long, ids binary, counts binary"))
+    total = np.zeros(1, np.int64)
+    for row in coded.where("counts is not null").select("counts").toLocalIterator():
+        ids, n = np.frombuffer(row["counts"], "<i8").reshape(2, -1)
+        total = np.pad(total, (0, max(0, int(ids.max(initial=0)) + 1 - len(total))))
+        total[ids] += n
+    by_rank = np.lexsort((np.arange(len(total)), -total))[: np.count_nonzero(total)].tolist()
+    rank_of = np.zeros(len(total), np.uint32)
     rank_of[by_rank] = np.arange(len(by_rank), dtype=np.uint32)
-    shards = max(8, int(docs.sparkSession.conf.get("spark.sql.shuffle.partitions")))
-    ordered = coded.repartitionByRange(shards, "doc_id").sortWithinPartitions("doc_id", "n", "data", "control")
-    ordered.mapInArrow(_writer(rank_of), _BLOCKS).write.parquet(f"{path}/blocks")
+    shards = max(8, -(-int(total.sum()) // SHARD_IDS))
+    ordered = coded.where("counts is null").select("doc_id", "n", "ids").repartitionByRange(shards, "doc_id").sortWithinPartitions("doc_id", "n", "ids")
+    ordered.mapInArrow(_writer(rank_of, kind), _BLOCKS).write.parquet(f"{path}/blocks")
     spark = docs.sparkSession
     spark.createDataFrame(list(enumerate(by_rank)), "rank int, id int").write.parquet(f"{path}/ranks")
+    drop(coded)
 
 
 def _reader(ids: np.ndarray, before: dict[int, int]):
