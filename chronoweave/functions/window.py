@@ -8,17 +8,18 @@ from datetime import datetime, timedelta, timezone
 
 from chronoweave.functions import tz
 
-_DATE = {"%Y%m%dT": "", "%Y-%m-%d ": " ", "%Y-%m-%dT": "", "%Y/%m/%d ": " ", "%Y/%m/%dT": ""}
+#: Date forms, and what may stand between their clock and a zone.
+_DATE = {"%Y%m%dT": ("",), "%Y-%m-%d ": (" ",), "%Y-%m-%dT": ("", " "), "%Y/%m/%d ": (" ",), "%Y/%m/%dT": (" ",)}
 _UNITS = {"w": 604800, "d": 86400, "h": 3600, "m": 60, "s": 1}
 _RELATIVE = re.compile(rf"(@?)([+-])((?:\d+[wdhms])+)(?:!(\d\d)(?::?(\d\d))?(?::?(\d\d))?)?([+\-{tz.MINUS}]\d\d(?::?\d\d)?)?")
-_ZONE_AT_END = re.compile(rf"(.*?\d) ?([+\-{tz.MINUS}]\d\d(?::?\d\d)?|[A-Za-z]+)")
+_ZONE_AT_END = re.compile(rf"(.*?\d)( ?)([+\-{tz.MINUS}]\d\d(?::?\d\d)?|[A-Za-z]+)")
 
 
-def _formats():
-    """Date and time forms without zone, generated: five dates, then no, 3 or 6 fraction digits."""
-    for date, fraction in itertools.product(_DATE, ("", ".%f")):
-        clock = "%H%M%S" if date == "%Y%m%dT" else "%H:%M:%S"
-        yield date + clock + fraction
+def _formats(gap: str | None = None):
+    """Date and time forms, generated: five dates, then no, 3 or 6 fraction digits; with a zone, those that allow the gap."""
+    for (date, gaps), fraction in itertools.product(_DATE.items(), ("", ".%f")):
+        if gap is None or gap in gaps:
+            yield date + ("%H%M%S" if date == "%Y%m%dT" else "%H:%M:%S") + fraction
 
 
 def absolute(text: str, default_tz: int, now: datetime) -> datetime | None:
@@ -40,10 +41,10 @@ def absolute(text: str, default_tz: int, now: datetime) -> datetime | None:
             return found
     if tail := _ZONE_AT_END.fullmatch(text):
         try:
-            size = tz.option_seconds(tail[2])
+            size = tz.option_seconds(tail[3])
         except ValueError:
             return None
-        for form in _formats():
+        for form in _formats(tail[2]):
             if (found := _try(tail[1], form, timezone(timedelta(seconds=size)))) is not None:
                 return found
     return None

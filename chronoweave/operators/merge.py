@@ -2,7 +2,7 @@
 
 from __future__ import annotations
 
-from pyspark.sql import DataFrame
+from pyspark.sql import DataFrame, Window
 from pyspark.sql import functions as F
 
 from chronoweave.operators.running import with_running
@@ -38,5 +38,26 @@ def with_merge_key(messages: DataFrame, at: str = "epoch_ns", seq: str = "seq",
     return with_running(blocked, ["path_id"], "_block", seq, {"merge_key": ("max", F.col(at))}).drop("_block")
 
 
+def last_of_each_time(messages: DataFrame, at: str = "epoch_ns") -> DataFrame:
+    """Of a source's messages with one time, the last (largest seq); others give way to it. Partial aggregation, then a row per time."""
+    return messages.groupBy("path_id", at).agg(F.max_by(F.struct(*messages.columns), "seq").alias("m")).select("m.*")
+
+
+def with_position(messages: DataFrame, at: str = "merge_key") -> DataFrame:
+    """Adds position, from 1: the place of each message in the merged order.
+
+    Messages are ranked inside ranges of the order and the ranges' sizes are summed up, so no task holds all rows.
+    """
+    ranges = messages.repartitionByRange(at, "path_id", "seq").sortWithinPartitions(at, "path_id", "seq")
+    # one number for each row of its own range, then one row for each range
+    numbered = ranges.withColumn("_id", F.monotonically_increasing_id())
+    part, place = F.shiftrightunsigned("_id", 33), F.col("_id").bitwiseAND(F.lit((1 << 33) - 1))
+    numbered = numbered.withColumn("_part", part).withColumn("_place", place)
+    sizes = numbered.groupBy("_part").agg(F.count("*").alias("_n"))
+    before = Window.orderBy("_part").rowsBetween(Window.unboundedPreceding, -1)
+    starts = sizes.select(F.col("_part").alias("_p"), F.coalesce(F.sum("_n").over(before), F.lit(0)).alias("_start"))
+    return numbered.join(F.broadcast(starts), F.col("_part") == F.col("_p")).withColumn("position", F.col("_start") + F.col("_place") + 1).drop("_id", "_part", "_place", "_p", "_start")
+
+
 def merged(messages: DataFrame, at: str = "epoch_ns", seq: str = "seq") -> DataFrame:
     return with_merge_key(messages, at, seq).orderBy("merge_key", "path_id", seq)

@@ -2,6 +2,7 @@
 
 from __future__ import annotations
 
+import re
 import tempfile
 import uuid
 
@@ -12,9 +13,10 @@ def shared_path(spark: SparkSession) -> str:
     """A new path below spark.checkpoint.dir; a temporary folder only where a local session names none."""
     base = spark.conf.get("spark.checkpoint.dir", None)
     if not base:
-        if not spark.sparkContext.master.startswith("local"):
+        if not re.fullmatch(r"local(\[.*\])?", spark.sparkContext.master):
             raise ValueError("set spark.checkpoint.dir to a folder that driver and executors share")
-        base = "file://" + tempfile.mkdtemp(prefix="chronoweave-")
+        base = spark.conf.get("spark.chronoweave.scratch", None) or "file://" + tempfile.mkdtemp(prefix="chronoweave-")
+        spark.conf.set("spark.chronoweave.scratch", base)
     return f"{base.rstrip('/')}/chronoweave-{uuid.uuid4().hex}"
 
 

@@ -2,12 +2,27 @@
 
 from __future__ import annotations
 
+import lzma
 import re
+import tarfile
+import zlib
+from concurrent.futures import ThreadPoolExecutor
 from dataclasses import dataclass
+from urllib.parse import unquote, urlparse
 
-from pyspark.sql import Column, DataFrame, SparkSession
+import pandas as pd
+from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
+from chronoweave.sources.bytes import encoding_of, head_profile, partly_unpacked, tar_entries
+
+#: Bytes at a file's beginning that decide its encoding and patterns, and the bytes of all heads together.
+HEAD_BYTES, ALL_HEADS = 0xFFFF, 256 << 20
+#: Files of at most this many bytes hold no message.
+TOO_SMALL = 5
+#: Kinds that need libraries which aren't public format descriptions; they are listed, not read.
+UNSUPPORTED = ("etl", "odl")
+
 # Names and suffixes that decide a file's type.
 TEXT_SUFFIXES = ["log", "txt", "text"]
 TEXT_NAMES = ["dmesg", "history", "kernellog", "kernelog", "kernlog", "log", "messages", "syslog"]
@@ -71,54 +86,189 @@ def _bare(name: str) -> str:
     return "text"
 
 
-def suffix_kind(name: Column) -> Column:
-    """The same decision for the last suffix of a path column, as an expression: text, archive, record, event, other."""
-    suffix = F.lower(F.regexp_extract(name, r"\.([^./]+)$", 1))
-    return (
-        F.when(suffix.isin(TEXT_SUFFIXES), "text").when(suffix.isin(list(ARCHIVES)), "archive")
-        .when(suffix.isin(list(RECORD_NAMES)), "record").when(suffix.isin(EVENT_SUFFIXES + ODL_SUFFIXES), "event")
-        .when(suffix.isin(NOT_LOGS), "not_log").otherwise("other")
-    )
+def classified(names: DataFrame, column: str = "name") -> DataFrame:
+    """``names`` with file_type and archive of each base name; a name is decided once, however often it occurs."""
 
+    def decide(frames):
+        for pdf in frames:
+            kinds = [file_type(n.rsplit("/", 1)[-1]) for n in pdf["_name"]]
+            yield pdf.assign(file_type=[k.kind for k in kinds], archive=[k.archive for k in kinds])
 
-def list_files(spark: SparkSession, paths: list[str], mtimes: dict[str, float] | None = None) -> list[dict]:
-    """Every regular file below ``paths``, in path order per argument, by the session's file system.
+    each = names.select(F.col(column).alias("_name")).where("_name is not null").distinct().mapInPandas(decide, "_name string, file_type string, archive string")
+    return names.join(each, F.col(column) == F.col("_name"), "left").drop("_name")
 
-    Names only come to the driver, as in any Spark file listing. ``mtimes`` (seconds by path as
-    given) replaces modification times that a copy did not keep. Sizes up to 5 bytes are refused.
-    """
-    found, seen = [], set()
-    jvm, conf = spark._jvm, spark._jsc.hadoopConfiguration()
-    for given in paths:
-        root = jvm.org.apache.hadoop.fs.Path(given)
-        fs = root.getFileSystem(conf)
-        top = fs.getFileStatus(root)
-        below = []
+
+class Tree:
+    """The file system of a path, through the session's own configuration; local files are read directly."""
+
+    def __init__(self, spark: SparkSession):
+        self.jvm, self.conf = spark._jvm, spark._jsc.hadoopConfiguration()
+
+    def below(self, given: str) -> tuple[bool, list[tuple[str, int, float]]]:
+        """Whether ``given`` names a file, and (path, size, mtime) of all files below it, sorted by path."""
+        root = self.jvm.org.apache.hadoop.fs.Path(given)
+        fs = root.getFileSystem(self.conf)
+        top = fs.getFileStatus(fs.resolvePath(root))
+        found = []
         if top.isFile():
-            below.append(top)
+            found.append(top)
         else:
-            each = fs.listFiles(root, True)
+            each = fs.listFiles(top.getPath(), True)
             while each.hasNext():
-                below.append(each.next())
-        for status in sorted(below, key=lambda s: s.getPath().toString()):
-            path = status.getPath().toString()
+                found.append(each.next())
+        rows = [(s.getPath().toString(), s.getLen(), s.getModificationTime() / 1000) for s in found]
+        return top.isFile(), sorted(rows)
+
+    def ends(self, path: str, size: int) -> tuple[bytes, bytes]:
+        """The first ``size`` bytes of a file, and its last byte."""
+        if path.startswith("file:"):
+            with open(unquote(urlparse(path).path), "rb") as f:
+                head = f.read(size)
+                f.seek(0, 2)
+                f.seek(max(0, f.tell() - 1))
+                return head, f.read(1)
+        at = self.jvm.org.apache.hadoop.fs.Path(path)
+        fs = at.getFileSystem(self.conf)
+        stream = fs.open(at)
+        try:
+            io = self.jvm.org.apache.commons.io
+            head = bytes(io.IOUtils.toByteArray(io.input.BoundedInputStream(stream, size)))
+            stream.seek(max(0, fs.getFileStatus(at).getLen() - 1))
+            return head, bytes([stream.read() & 255])
+        finally:
+            stream.close()
+
+
+def _row(path: str, subpath: str | None, shown: str, kind: FileType, size: int, mtime: float, status: str, error: str | None = None) -> dict:
+    return {
+        "path_id": -1, "path": path, "subpath": subpath, "shown": shown, "file_type": kind.kind, "archive": kind.archive, "encoding": kind.encoding,
+        "size": size, "mtime": mtime, "status": status, "error": error, "patterns": None, "newline": True,
+    }
+
+
+def _status(kind: FileType, size: int, inside: bool = False) -> tuple[str, str | None]:
+    if size == 0:
+        return "empty", None
+    if size <= TOO_SMALL:
+        return "too_small", None
+    if kind.kind == "unparsable":
+        return "unparsable", None
+    if kind.kind in UNSUPPORTED:
+        return "unsupported", f"{kind.kind} files are not parsed"
+    if inside and (kind.kind == "tar" or kind.archive != "normal"):
+        return "unsupported", "archives inside archives are not parsed"
+    return "ok", None
+
+
+def list_files(spark: SparkSession, paths: list[str], mtimes: dict[str, float] | None = None, profile: str = "clean") -> list[dict]:
+    """A row for every file below ``paths`` and every entry of their tar files, in path order per argument.
+
+    Names, sizes and the first ``HEAD_BYTES`` bytes come to the driver, as in any file listing (fewer bytes of each
+    where files are many, so that all heads together stay below ``ALL_HEADS``). A path that can't be
+    listed and a file that can't or needn't be read have a row with a status other than ``ok`` and the reason; they never end the
+    search. ``mtimes`` (seconds by path as given or shown) replaces modification times that a copy did not keep.
+    """
+    tree, rows, seen = Tree(spark), [], set()
+    for given in paths:
+        try:
+            direct, below = tree.below(given)
+        except Exception as e:  # any file system's own exception: the row says what it was
+            rows.append(_row(given, None, given, FileType("unparsable"), 0, 0.0, "not_found", _reason(e)))
+            continue
+        for path, size, mtime in below:
             if path in seen:
                 continue
             seen.add(path)
-            plain = re.sub(r"^file:/+", "/", path)
-            kind = file_type(status.getPath().getName(), top.isFile())
-            size = status.getLen()
-            state = "empty" if size == 0 else "too_small" if size <= 5 else "unparsable" if kind.kind == "unparsable" else "ok"
-            shown = given if top.isFile() else plain
-            mtime = (mtimes or {}).get(given if top.isFile() else plain, status.getModificationTime() / 1000)
-            found.append({
-                "path_id": len(found), "path": path, "shown": shown, "file_type": kind.kind, "archive": kind.archive,
-                "encoding": kind.encoding, "size": size, "mtime": float(mtime), "status": state,
-            })
-    return found
-
-
-FILES_SCHEMA = "path_id int, path string, shown string, file_type string, archive string, encoding string, size long, mtime double, status string"
+            shown = given if direct else re.sub(r"^file:/+", "/", path)
+            kind = file_type(path.rsplit("/", 1)[-1], direct)
+            rows.append(_row(path, None, shown, kind, size, float((mtimes or {}).get(shown, mtime)), *_status(kind, size)))
+    rows = _with_entries(spark, rows)
+    head_bytes = max(1 << 12, min(HEAD_BYTES, ALL_HEADS // max(1, len(rows))))
+    with ThreadPoolExecutor(16) as pool:
+        list(pool.map(lambda f: _look(tree, f, head_bytes, profile), [f for f in rows if f["status"] == "ok" and f["subpath"] is None]))
+    for f in rows:
+        if f["subpath"] is not None and f["status"] == "ok":
+            _judge(f, f.pop("head"), profile)
+        f.pop("head", None)
+    for i, f in enumerate(rows):
+        f["path_id"] = i
+    return rows
+
+
+def _reason(e: Exception) -> str:
+    java = getattr(e, "java_exception", None)
+    return str(java.toString() if java is not None else e).splitlines()[0]
+
+
+def _look(tree: Tree, f: dict, size: int, profile: str) -> None:
+    """Sets what a file's first bytes tell: header time, encoding, patterns, or why it isn't read."""
+    try:
+        head, last = tree.ends(f["path"], size)
+        if f["archive"] == "gz" and len(head) >= 8 and (at := int.from_bytes(head[4:8], "little")):
+            f["mtime"] = float(at)
+        head = partly_unpacked(head, f["archive"])
+    except Exception as e:  # permissions, a file that vanished, a broken header: the file's own status
+        f["status"], f["error"] = "unreadable", _reason(e)
+        return
+    f["newline"] = last == b"\n" or f["archive"] != "normal"
+    _judge(f, head, profile)
+
+
+def _judge(f: dict, head: bytes, profile: str) -> None:
+    if f["file_type"] != "text":
+        return
+    if not head.strip(b"\0"):
+        f["status"] = "null_bytes"
+    elif not head[:128].strip(b"\xff"):
+        f["status"] = "ff_bytes"
+    else:
+        encoding, mark = (f["encoding"].lower().replace("utf-16le", "utf-16-le"), 0) if f["encoding"] else encoding_of(head[:8192])
+        f["encoding"] = encoding
+        f["patterns"], f["status"] = head_profile(head[mark:], encoding, f["size"] > len(head) or f["archive"] != "normal", profile)
+
+
+def _with_entries(spark: SparkSession, rows: list[dict]) -> list[dict]:
+    """Tar files replaced by their entries; the entries are listed on the executors."""
+    tars = [f for f in rows if f["file_type"] == "tar" and f["status"] == "ok"]
+    if not tars:
+        return rows
+    how = {f["path"]: f["archive"] for f in tars}
+
+    def entries(frames):
+        for pdf in frames:
+            for path, content in zip(pdf["path"], pdf["content"]):
+                found = []
+                try:
+                    for n, entry in enumerate(tar_entries(bytes(content), how[path])):
+                        found.append((path, n, entry[0], len(entry[1]), entry[2], entry[1][:HEAD_BYTES], None))
+                except (OSError, EOFError, ValueError, lzma.LZMAError, zlib.error, tarfile.TarError) as e:
+                    found.append((path, len(found), None, 0, 0.0, None, str(e)))
+                yield pd.DataFrame(found, columns=["path", "no", "name", "size", "mtime", "head", "error"])
+
+    schema = "path string, no long, name string, size long, mtime double, head binary, error string"
+    whole = spark.read.format("binaryFile").load([f["path"] for f in tars]).select("path", "content")
+    listed: dict[str, list] = {}
+    for r in whole.mapInPandas(entries, schema).orderBy("path", "no").toLocalIterator():
+        listed.setdefault(re.sub("^file:/+", "file:/", r["path"]), []).append(r)
+    out = []
+    for f in rows:
+        if f not in tars:
+            out.append(f)
+            continue
+        for r in listed.get(re.sub("^file:/+", "file:/", f["path"]), []):
+            if r["name"] is None:
+                out.append(f | {"status": "corrupt", "error": r["error"]})
+                continue
+            kind = file_type(r["name"].rsplit("/", 1)[-1], True)
+            made = _row(f["path"], r["name"], f"{f['shown']}|{r['name']}", kind, r["size"], r["mtime"] or f["mtime"], *_status(kind, r["size"], True))
+            out.append(made | {"archive": f["archive"], "head": bytes(r["head"] or b"")})
+    return out
+
+
+FILES_SCHEMA = (
+    "path_id int, path string, subpath string, shown string, file_type string, archive string, encoding string, size long, mtime double, "
+    "status string, error string, patterns array<int>, newline boolean"
+)
 
 
 def files_frame(spark: SparkSession, files: list[dict]) -> DataFrame:

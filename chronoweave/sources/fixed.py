@@ -30,7 +30,7 @@ LAYOUTS = {
 # Names of ut_type 0 to 11.
 UT_TYPES = "EMPTY RUN_LVL BOOT_TIME NEW_TIME OLD_TIME INIT_PROCESS LOGIN_PROCESS USER_PROCESS DEAD_PROCESS ACCOUNTING SIGNATURE DOWN_TIME".split()
 _SPAN = (1_000_000, 4_102_444_800)
-RECORDS = "path string, seq long, epoch_ns long, dt_beg int, dt_end int, layout string, raw binary"
+RECORDS = "path_id int, seq long, epoch_ns long, dt_beg int, dt_end int, layout string, raw binary"
 
 
 def _number(data: bytes, offset: int, size: int) -> int:
@@ -41,19 +41,23 @@ def _text(data: bytes, offset: int, size: int) -> bytes:
     return data[offset : offset + size].split(b"\0")[0]
 
 
+# Points of a record by how it looks.
+PRINTABLE, FF_BYTE, OTHER_BYTE, NOT_EMPTY, ENDED, AFTER_END, PLAUSIBLE, IMPLAUSIBLE, ZERO_TIME, GOOD_TYPE, BAD_TYPE, HINT = 2, -5, -3, 1, 10, -5, 20, -30, -40, 5, -30, 15
+
+
 def _score(data: bytes, layout: tuple) -> int:
     """How far a record looks like the layout: printable NUL-ended strings and a plausible time."""
     total = 0
     for _, offset, size in layout[3]:
         part, text = data[offset : offset + size], _text(data, offset, size)
-        total += sum(2 if 32 <= b < 127 else -5 if b == 255 else -3 for b in text) + (1 if text else 0)
-        total += 10 if b"\0" in part else -10
-        total -= 5 if any(part[len(text) :]) else 0
+        total += sum(PRINTABLE if 32 <= b < 127 else FF_BYTE if b == 255 else OTHER_BYTE for b in text) + (NOT_EMPTY if text else 0)
+        total += ENDED if b"\0" in part else -ENDED
+        total += AFTER_END if any(part[len(text) :]) else 0
     when = _number(data, layout[2][0], layout[2][1])
-    total += -40 if when == 0 else 20 if _SPAN[0] <= when <= _SPAN[1] else -30
+    total += ZERO_TIME if when == 0 else PLAUSIBLE if _SPAN[0] <= when <= _SPAN[1] else IMPLAUSIBLE
     for name, offset, code in layout[4]:
         if name == "ut_type":
-            total += 5 if 0 <= struct.unpack_from("<" + code, data, offset)[0] < len(UT_TYPES) else -30
+            total += GOOD_TYPE if 0 <= struct.unpack_from("<" + code, data, offset)[0] < len(UT_TYPES) else BAD_TYPE
     return total
 
 
@@ -68,7 +72,7 @@ def layout_of(content: bytes, hint: str) -> str | None:
         records = [r for r in records if any(r) and r != b"\xff" * size][:5]
         if not records:
             continue
-        score = max(_score(r, layout) for r in records) + (15 if layout[1] == hint or layout[1].rstrip("x") == hint else 0)
+        score = max(_score(r, layout) for r in records) + (HINT if layout[1] == hint or layout[1].rstrip("x") == hint else 0)
         if best is None or score > best:
             best, chosen = score, name
     return chosen
@@ -95,37 +99,40 @@ def decode(data: bytes, name: str) -> tuple[int, int, str, int, int]:
     return seconds, micros, f"{front}{stamp}\n", len(front.encode()), len((front + stamp).encode())
 
 
-def read_records(spark: SparkSession, files: list[dict], dedup_times: bool = False) -> DataFrame:
-    """Records in (time, offset) order with seq from 1; null records and zero times are left out.
+def records(data: bytes, hint: str, dedup_times: bool = False) -> list[tuple[int, int, int, str, bytes]]:
+    """(instant in ns, begin and end of the time in the text, layout, text) of a file's records in (time, offset) order.
 
-    ``dedup_times`` keeps only the last record of each time in a file.
+    Null records and zero times are left out; ``dedup_times`` keeps only the last record of each time.
     """
-    from chronoweave.sources.text import unpacked
-
-    how = {f["path"]: (f["archive"], f["file_type"].split(":")[1]) for f in files}
-
-    def read(batches):
-        for batch in batches:
-            for path, content in zip(batch["path"], batch["content"]):
-                archive, hint = how[path]
-                for _, data in unpacked(bytes(content), archive, False):
-                    name = layout_of(data, hint)
-                    if name is None:
-                        continue
-                    size = LAYOUTS[name][0]
-                    found = []
-                    for place in range(0, len(data), size):
-                        record = data[place : place + size]
-                        if not any(record) or record == b"\xff" * size:
-                            continue
-                        seconds, micros, text, begin, end = decode(record, name)
-                        if (seconds, micros) != (0, 0):
-                            found.append(((seconds, micros), place, text, begin, end))
-                    found.sort(key=lambda r: r[:2])
-                    if dedup_times:
-                        found = list({r[0]: r for r in found}.values())
-                    rows = [(path, i, (s * 1_000_000 + u) * 1000, b, e, name, t.encode()) for i, ((s, u), _, t, b, e) in enumerate(found, 1)]
-                    yield pd.DataFrame(rows, columns=["path", "seq", "epoch_ns", "dt_beg", "dt_end", "layout", "raw"])
-
-    whole = spark.read.format("binaryFile").load([f["path"] for f in files]).select("path", "content")
-    return whole.mapInPandas(read, RECORDS)
+    name, found = layout_of(data, hint), []
+    if name is None:
+        return []
+    size = LAYOUTS[name][0]
+    for place in range(0, len(data), size):
+        record = data[place : place + size]
+        if not any(record) or record == b"\xff" * size:
+            continue
+        seconds, micros, text, begin, end = decode(record, name)
+        if (seconds, micros) != (0, 0):
+            found.append(((seconds, micros), place, text, begin, end))
+    found.sort(key=lambda r: r[:2])
+    if dedup_times:
+        found = list({r[0]: r for r in found}.values())
+    return [((s * 1_000_000 + u) * 1000, b, e, name, t.encode()) for (s, u), _, t, b, e in found]
+
+
+def read_records(spark: SparkSession, files: list[dict], dedup_times: bool = False) -> DataFrame:
+    """``RECORDS`` of all files; seq from 1. A file that can't be unpacked or has no known layout gives none."""
+    from chronoweave.sources.text import by_path, contents, whole_files
+
+    how = by_path(files)
+
+    def read(frames):
+        for pdf in frames:
+            for path, content in zip(pdf["path"], pdf["content"]):
+                for f, data, _ in contents(how, path, bytes(content)):
+                    found = records(data, f["file_type"].split(":")[1], dedup_times) if data is not None else []
+                    rows = [(f["path_id"], i, at, b, e, name, t) for i, (at, b, e, name, t) in enumerate(found, 1)]
+                    yield pd.DataFrame(rows, columns=["path_id", "seq", "epoch_ns", "dt_beg", "dt_end", "layout", "raw"])
+
+    return whole_files(spark, files).mapInPandas(read, RECORDS)

@@ -1,125 +1,93 @@
-"""Text files to lines in file order.
+"""Text files to lines, the lines of a block together and in file order.
 
-Plain UTF-8, gzip and bzip2 files go through Spark's own text scan, so large plain files are split;
-a line's place is (block, pos): the offset of its split and a number that grows within the split.
-UTF-16, UTF-32, xz, lz4-framed and tar inputs are read whole, one file a task, and decoded there.
+Plain UTF-8 files go through Spark's own text scan, so large ones are split; a block is a split, named by its
+offset. Packed files, UTF-16, UTF-32 and tar entries are read whole, one file a task, and decoded there; their blocks
+are runs of lines. A file or entry that can't be decoded gives no lines; ``errors.read_errors`` says why.
 """
 
 from __future__ import annotations
 
-import bz2
-import gzip
-import io
 import lzma
-import tarfile
+import zlib
 from collections.abc import Iterator
 
 import pandas as pd
 from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
-LINES = "path string, subpath string, block long, pos long, raw binary"
-#: Bytes that end a line's place in a decoded file, so that decoded lines form blocks as splits do.
-BLOCK_LINES = 1 << 20
-_MARKS = [(b"\x00\x00\xfe\xff", "utf-32-be"), (b"\xff\xfe\x00\x00", "utf-32-le"), (b"\xef\xbb\xbf", "utf-8"), (b"\xff\xfe", "utf-16-le"), (b"\xfe\xff", "utf-16-be")]
-
-
-def encoding_of(head: bytes) -> tuple[str, int]:
-    """Encoding and length of the byte order mark, from a file's first bytes."""
-    for mark, name in _MARKS:
-        if head.startswith(mark):
-            return name, len(mark)
-    head = head[: len(head) // 4 * 4]
-    if head and 0 in head:
-        quarter = [sum(b == 0 for b in head[i::4]) / (len(head) / 4) for i in range(4)]
-        zero = [q > 0.6 for q in quarter]
-        shapes = {(False, True, True, True): "utf-32-le", (True, True, True, False): "utf-32-be", (False, True, False, True): "utf-16-le", (True, False, True, False): "utf-16-be"}
-        if tuple(zero) in shapes:
-            return shapes[tuple(zero)], 0
-    return "utf-8", 0
-
-
-def unpacked(content: bytes, archive: str, tar: bool) -> Iterator[tuple[str | None, bytes]]:
-    """(subpath, bytes) of what a file holds; packed entries inside a tar are not supported and left out."""
-    if archive == "gz":
-        content = gzip.decompress(content)
-    elif archive == "bz2":
-        content = bz2.decompress(content)
-    elif archive == "xz":
-        content = lzma.decompress(content)
-    elif archive == "lz4":
-        import lz4.frame
-
-        content = lz4.frame.decompress(content)
-    if not tar:
-        yield None, content
-        return
-    with tarfile.open(fileobj=io.BytesIO(content)) as members:
-        for entry in members:
-            if entry.isfile() and entry.size > 0 and not entry.name.endswith((".gz", ".bz2", ".xz", ".lz4", ".tar", ".tgz")):
-                yield entry.name, members.extractfile(entry).read()
-
-
-def split_lines(content: bytes, encoding: str | None = None) -> list[bytes]:
-    """UTF-8 lines, each with its newline; undecodable parts become U+FFFD unless the text is UTF-8."""
-    if encoding is None:
-        encoding, mark = encoding_of(content[:4096])
-        content = content[mark:]
-    if encoding != "utf-8":
-        content = content.decode(encoding, "replace").encode()
-    parts = content.split(b"\n")
-    return [p + b"\n" for p in parts[:-1]] + ([parts[-1]] if parts[-1] else [])
-
-
-def _scan(spark: SparkSession, files: list[dict]) -> DataFrame:
-    """Lines by the text scan. Bytes pass unchanged; every line gets back its newline."""
-    lines = spark.read.text([f["path"] for f in files], lineSep="\n")
-    return lines.select(
-        F.col("_metadata.file_path").alias("path"),
-        F.lit(None).cast("string").alias("subpath"),
-        F.col("_metadata.file_block_start").alias("block"),
-        F.monotonically_increasing_id().alias("pos"),
-        F.concat(F.col("value").cast("binary"), F.lit(b"\n")).alias("raw"),
-    )
-
-
-def _decoded(spark: SparkSession, files: list[dict]) -> DataFrame:
-    how = {f["path"]: (f["archive"], f["file_type"] == "tar", f["encoding"]) for f in files}
-
-    def read(batches):
-        for batch in batches:
-            for path, content in zip(batch["path"], batch["content"]):
-                archive, tar, encoding = how[path]
-                for subpath, data in unpacked(bytes(content), archive, tar):
-                    lines = split_lines(data, encoding)
-                    for start in range(0, len(lines), 65536):
-                        some = lines[start : start + 65536]
-                        place = range(start, start + len(some))
-                        yield pd.DataFrame({"path": path, "subpath": subpath, "block": [p // BLOCK_LINES for p in place], "pos": list(place), "raw": some})
-
-    whole = spark.read.format("binaryFile").load([f["path"] for f in files]).select("path", "content")
-    return whole.mapInPandas(read, LINES)
-
-
-def _wide(spark: SparkSession, files: list[dict]) -> set[str]:
-    """Paths whose first bytes are not UTF-8 text: a byte order mark, or zero bytes.
-
-    Only first bytes are read, on the executors, through the session's file system scan.
-    """
-    first = spark.read.text([f["path"] for f in files], lineSep="\n").where(F.col("_metadata.file_block_start") == 0)
-    head = first.select(F.col("_metadata.file_path").alias("path"), F.substring(F.col("value").cast("binary"), 1, 64).alias("head"))
-    odd = F.hex("head").rlike("^(EFBBBF|FFFE|FEFF|0000FEFF)") | (F.position(F.lit(b"\x00"), F.col("head")) > 0)
-    return {r.path for r in head.where(odd).select("path").distinct().toLocalIterator()}
-
-
-def read_lines(spark: SparkSession, files: list[dict], detect: bool = True) -> DataFrame:
-    """path, subpath, block, pos, raw of every line of the given text files."""
-    scan = [f for f in files if f["archive"] in ("normal", "gz", "bz2") and f["file_type"] == "text" and not f["encoding"]]
-    scan = [f for f in scan if f["archive"] == "normal" or f["path"].endswith((".gz", ".bz2"))]
-    wide = _wide(spark, scan) if detect and scan else set()
-    scan = [f for f in scan if f["path"] not in wide]
-    rest = [f for f in files if f not in scan]
-    frames = ([_scan(spark, scan)] if scan else []) + ([_decoded(spark, rest)] if rest else [])
-    if not frames:
-        return spark.createDataFrame([], LINES)
+from chronoweave.sources.bytes import split_lines, tar_entries, unpacked
+
+#: Lines of one block of a decoded file, and lines handed on at once.
+BLOCK_LINES, PART_LINES = 1 << 20, 1 << 16
+#: What a broken packed or tar file raises.
+BROKEN = (OSError, EOFError, ValueError, IndexError, lzma.LZMAError, zlib.error)
+LINES = "path_id int, block long, raw binary"
+
+
+def _scan(spark: SparkSession, files: list[dict], known: DataFrame) -> DataFrame:
+    """Lines by the text scan. Bytes pass unchanged; every line gets back its newline, but for a last line without one."""
+    lines = spark.read.text([f["path"] for f in files], lineSep="\n").select(
+        F.col("_metadata.file_path").alias("_path"), F.col("_metadata.file_size").alias("_size"), F.col("_metadata.file_block_start").alias("block"),
+        (F.col("_metadata.file_block_start") + F.col("_metadata.file_block_length")).alias("_end"), F.col("value").cast("binary").alias("_line"),
+    )
+    raw = F.concat("_line", F.lit(b"\n")).alias("raw")
+    open_end = (~F.col("newline") & (F.col("_end") >= F.col("_size"))).alias("open_end")
+    return lines.join(F.broadcast(known.withColumnRenamed("path", "_known")), F.col("_path") == F.col("_known")).select(*[c for c in known.columns if c not in ("path", "newline")], "block", open_end, raw)
+
+
+def contents(path_of: dict[str, list[dict]], path: str, content: bytes, single_member: bool = False) -> Iterator[tuple[dict, bytes | None, str | None]]:
+    """(file, bytes, error) of each listed file or entry that ``content`` holds."""
+    wanted = path_of[path]
+    try:
+        if wanted[0]["subpath"] is None:
+            yield wanted[0], unpacked(content, wanted[0]["archive"], single_member), None
+        else:
+            by_name = {f["subpath"]: f for f in wanted}
+            for name, data, _ in tar_entries(content, wanted[0]["archive"]):
+                if name in by_name:
+                    yield by_name[name], data, None
+    except BROKEN as e:
+        yield wanted[0], None, f"{type(e).__name__}: {e}"
+
+
+def by_path(files: list[dict]) -> dict[str, list[dict]]:
+    """Files by path, in both spellings that Spark uses for local ones."""
+    found: dict[str, list[dict]] = {}
+    slim = ("path_id", "path", "subpath", "archive", "encoding", "file_type")
+    for f in files:
+        for name in {f["path"], f["path"].replace("file:///", "file:/"), f["path"].replace("file:/", "file:///") if not f["path"].startswith("file:///") else f["path"]}:
+            found.setdefault(name, []).append({k: f[k] for k in slim})
+    return found
+
+
+def whole_files(spark: SparkSession, files: list[dict]) -> DataFrame:
+    return spark.read.format("binaryFile").load(sorted({f["path"] for f in files})).select("path", "content")
+
+
+def _decoded(spark: SparkSession, files: list[dict], single_member: bool) -> DataFrame:
+    how = by_path(files)
+
+    def read(frames: Iterator[pd.DataFrame]) -> Iterator[pd.DataFrame]:
+        for pdf in frames:
+            for path, content in zip(pdf["path"], pdf["content"]):
+                for f, data, _ in contents(how, path, bytes(content), single_member):
+                    lines = split_lines(data, f["encoding"]) if data is not None else []
+                    for start in range(0, len(lines), PART_LINES):
+                        some = lines[start : start + PART_LINES]
+                        yield pd.DataFrame({"path_id": f["path_id"], "block": start // BLOCK_LINES, "raw": some})
+
+    return whole_files(spark, files).mapInPandas(read, LINES)
+
+
+def read_lines(spark: SparkSession, files: list[dict], known: DataFrame, single_member: bool = False) -> DataFrame:
+    """block, open_end (the file's last line has no newline, its block is the last), raw and ``known``'s columns for every line of the text files."""
+    scan = [f for f in files if f["archive"] == "normal" and f["subpath"] is None and f["encoding"] == "utf-8"]
+    scanned = {f["path_id"] for f in scan}
+    rest = [f for f in files if f["path_id"] not in scanned]
+    frames = [_scan(spark, scan, known)] if scan else []
+    if rest:
+        about = known.drop("path", "newline").withColumnRenamed("path_id", "_id")
+        lines = _decoded(spark, rest, single_member).join(F.broadcast(about), F.col("path_id") == F.col("_id"))
+        frames.append(lines.select(*[c for c in known.columns if c not in ("path", "newline")], "block", F.lit(False).alias("open_end"), "raw"))
     return frames[0] if len(frames) == 1 else frames[0].unionByName(frames[1])
+
