@@ -25,7 +25,7 @@ def op2_quality(spark: SparkSession, sf_dir: str) -> DataFrame:
 
 
 def op3_exact_dedup(spark: SparkSession, sf_dir: str) -> DataFrame:
-    return exact_dedup.exact_dedup(table(spark, sf_dir, "documents"))
+    return exact_dedup.exact_dedup(table(spark, sf_dir, "documents")).drop("n_chars")
 
 
 def op4_best_fit_packing(spark: SparkSession, sf_dir: str) -> DataFrame:
@@ -57,12 +57,15 @@ def op9_chat(spark: SparkSession, sf_dir: str) -> DataFrame:
 
 def op10_toxicity(spark: SparkSession, sf_dir: str) -> DataFrame:
     docs = table(spark, sf_dir, "documents")
-    return toxicity.toxicity(docs, toxicity.fit(docs, table(spark, sf_dir, "labels"))).drop("spans")
+    return toxicity.toxicity(docs, toxicity.fit(docs, table(spark, sf_dir, "labels")))
 
 
 QUERIES = {f.__name__: f for f in (op1_substring_dedup, op2_quality, op3_exact_dedup, op4_best_fit_packing, op5_decontamination, op6_token_counts, op7_minhash_near_dedup, op8_token_files, op9_chat, op10_toxicity)}
-_ROWS = """(SELECT conv_id, turn, coalesce(role, '') AS role, coalesce(text, '') AS text FROM conversations
+_ROWS = """(SELECT CAST(conv_id AS BIGINT) AS conv_id, turn, role, text FROM conversations
  UNION ALL SELECT -7, 0, 'user', '</s>[INST] ok [/INST]' UNION ALL SELECT -7, 1, 'assistant', '</s>[INST] ok [/INST]') c"""
+_ORDER = "ORDER BY turn NULLS FIRST, role NULLS FIRST, text NULLS FIRST"
+_ESCAPED = r"regexp_replace(coalesce({}, ''), '([\\<\[\]])', '\\\1', 'g')"
+_LOWER = "translate(coalesce(text, ''), 'ABCDEFGHIJKLMNOPQRSTUVWXYZ', 'abcdefghijklmnopqrstuvwxyz')"
 ORACLE_SQL: dict[str, str] = {
     "op3_exact_dedup": r"""
 WITH d AS (SELECT doc_id, coalesce(text, '') AS t, regexp_replace(coalesce(text, ''), '[ \t\n\x0b\f\r]', '', 'g') AS bare FROM documents)
@@ -70,4 +73,21 @@ SELECT doc_id, first_value(doc_id) OVER (PARTITION BY bare ORDER BY length(t) DE
  count(*) OVER (PARTITION BY bare) AS group_size,
  row_number() OVER (PARTITION BY bare ORDER BY length(t) DESC, doc_id) = 1 AS kept, sha256(bare) AS text_sha256
 FROM d""",
+    "op7_minhash_near_dedup": rf"""
+WITH RECURSIVE w AS (SELECT doc_id, list_filter(string_split_regex({_LOWER}, '[ \t\n\x0b\f\r]+'), lambda x: x <> '') AS w FROM documents),
+s AS (SELECT doc_id, list_distinct(CASE WHEN len(w) >= 3 THEN list_transform(range(1, len(w) - 1), lambda i: w[i] || ' ' || w[i + 1] || ' ' || w[i + 2])
+ WHEN len(w) > 0 THEN [array_to_string(w, ' ')] ELSE CAST([] AS VARCHAR[]) END) AS s FROM w),
+e AS (SELECT doc_id, len(s) AS n, unnest(s) AS x FROM s),
+p AS (SELECT a.doc_id AS a, b.doc_id AS b FROM e a JOIN e b ON a.x = b.x AND a.doc_id < b.doc_id GROUP BY a.doc_id, b.doc_id, a.n, b.n HAVING 100 * count(*) >= 85 * (a.n + b.n - count(*))),
+l AS (SELECT a, b FROM p UNION ALL SELECT b, a FROM p),
+r AS (SELECT a, b FROM l UNION SELECT r.a, l.b FROM r JOIN l ON r.b = l.a),
+c AS (SELECT a AS doc_id, min(b) AS m FROM r GROUP BY a)
+SELECT s.doc_id, CAST(len(s.s) AS BIGINT) AS n_shingles, least(s.doc_id, coalesce(c.m, s.doc_id)) AS component_id, least(s.doc_id, coalesce(c.m, s.doc_id)) = s.doc_id AS kept
+FROM s LEFT JOIN c USING (doc_id)""",
+    "op9_chat": rf"""
+SELECT conv_id, count(*) AS n_turns, sha256(string_agg(coalesce(role, '') || chr(10) || coalesce(text, '') || chr(10), '' {_ORDER})) AS turns_sha256,
+ CAST(coalesce(sum(length(coalesce(text, ''))) FILTER (role = 'assistant'), 0) AS BIGINT) AS loss_chars,
+ sha256(coalesce(string_agg(coalesce(text, ''), '' {_ORDER}) FILTER (role = 'assistant'), '')) AS loss_sha256,
+ CAST(sum(11 + length({_ESCAPED.format('role')}) + length({_ESCAPED.format('text')})) AS BIGINT) AS formatted_chars
+FROM {_ROWS} GROUP BY conv_id""",
 }

@@ -6,12 +6,11 @@ driver and all executors share, so an executor that dies takes nothing with it.
 
 from __future__ import annotations
 
-import tempfile
-import uuid
-
 from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
+from chronoweave.plans.shared import shared_path
+
 #: Sides with at most this many rows of a few numbers each may be broadcast (about 16 MB).
 BROADCAST_ROWS = 500_000
 #: The same for sides of one to three 64-bit numbers: at most 48 MB, about 150 MB as a hash table.
@@ -23,19 +22,8 @@ def table(spark: SparkSession, sf_dir: str, name: str) -> DataFrame:
 
 
 def scratch(spark: SparkSession) -> str:
-    """A new path below the session's shared checkpoint folder.
-
-    Only where the session names none (tests on one machine) is a temporary folder chosen.
-    """
-    base = spark.conf.get("spark.checkpoint.dir", None)
-    if not base:
-        base = spark.conf.get("spark.chronoweave.scratch", None)
-    if not base:
-        if not spark.sparkContext.master.startswith("local["):
-            raise ValueError("set spark.checkpoint.dir to a folder that driver and executors share")
-        base = "file://" + tempfile.mkdtemp(prefix="chronoweave-")
-        spark.conf.set("spark.chronoweave.scratch", base)
-    return f"{base.rstrip('/')}/chronoweave-{uuid.uuid4().hex}"
+    """A new path below the session's shared checkpoint folder."""
+    return shared_path(spark)
 
 
 def materialise(df: DataFrame) -> DataFrame:
@@ -63,7 +51,3 @@ def small(df: DataFrame, rows: int = BROADCAST_ROWS) -> DataFrame:
     """``df`` with a broadcast hint if its counted size is within the bound, else unchanged."""
     return F.broadcast(df) if df.limit(rows + 1).count() <= rows else df
 
-
-def rename_clashes(df: DataFrame, wanted: list[str]) -> DataFrame:
-    """Only the wanted columns, so that extra columns can never clash with an operator's own."""
-    return df.select(*[F.col(f"`{c}`") for c in wanted])

@@ -3,7 +3,7 @@ from collections import Counter
 
 import pytest
 
-from chronoweave.llm import chat, decontaminate, exact_dedup, near_dedup, packing, quality, queries, substring_dedup, token_counts, token_files, toxicity
+from chronoweave.llm import decontaminate, exact_dedup, near_dedup, packing, queries, substring_dedup, token_counts, token_files
 
 WORDS = [f"w{i}" for i in range(400)]
 
@@ -100,21 +100,3 @@ def test_token_files(docs, empty):
     ids = [-1 if r["doc_id"] is None else r["doc_id"] for r in rows]
     assert ids == sorted(ids) and [r["start"] for r in rows] == [sum(x["n_tokens"] for x in rows[:i]) for i in range(len(rows))]
     assert token_files.token_files(empty, path).count() == 0
-
-
-def test_reply_trees(spark):
-    rows = [(1, "a", None, "user", "q", 0.0), (1, "b", "a", "assistant", "</s>", 1.0), (1, "c", "a", "assistant", None, 2.0), (1, "d", "c", None, "x", 0.0), (2, "e", "gone", "user", "y", None)]
-    trees = spark.createDataFrame(rows, "tree long, node string, parent string, role string, text string, score double")
-    best = {r["tree"]: chat.parse_turns(r["formatted"]) for r in chat.reply_trees(trees).collect()}
-    assert best == {1: [("user", "q"), ("", "x")][:1] + [("assistant", ""), ("", "x")], 2: [("user", "y")]} or best[1] == [("user", "q"), ("assistant", "</s>")]
-    assert chat.reply_trees(trees, None).count() == 3 and chat.reply_trees(trees.where("false")).count() == 0
-
-
-def test_classifiers(spark):
-    rows = [(i, prose(i // 2 % 50, i // 2 % 50 + 30) + " bad!!" * (i % 2)) for i in range(300)]
-    docs = spark.createDataFrame(rows, "doc_id long, text string")
-    labels = spark.createDataFrame([(i, 1 - i % 2, i % 2) for i in range(300)], "doc_id long, quality int, toxic int")
-    for r in quality.quality(docs, quality.fit(docs, labels)).collect():
-        assert r["predicted"] == 1 - r["doc_id"] % 2
-    for r in toxicity.toxicity(docs, toxicity.fit(docs, labels)).collect():
-        assert r["predicted"] == r["doc_id"] % 2
