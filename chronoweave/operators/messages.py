@@ -18,6 +18,7 @@ from pyspark.sql import DataFrame, Window
 from pyspark.sql import functions as F
 
 from chronoweave.functions import patterns
+from chronoweave.plans.shared import written
 
 NANOS = 1_000_000_000
 _JUMP = 25 * 3600 * NANOS
@@ -238,10 +239,14 @@ def in_blocks(lines: DataFrame, order: str = "pos") -> DataFrame:
 def all_grouped(stamped: DataFrame, how: Grouping = Grouping(), order: str = "pos") -> DataFrame:
     """Messages of a table's lines (path_id, block, ``order``, ...), in blocks of any number: :func:`grouped` after two passes for what the blocks need of each other.
 
-    The lines are put in order last before each pass: the optimiser takes a sort away that lies below a join.
+    The recognised lines are written once, so that the passes over them don't recognise again; without a datetime that lacks its
+    year there is one pass less. They are put in order last before each pass: the optimiser takes a sort away that lies
+    below a join.
     """
-    with_years = attached(stamped, turns_after(block_stats(in_blocks(stamped, order), how)))
-    complete = attached(with_years, bases(block_stats(in_blocks(with_years, order), how)))
+    stamped = written(stamped)
+    if stamped.where("epoch_ns is not null and not has_year").limit(1).count():
+        stamped = attached(stamped, turns_after(block_stats(in_blocks(stamped, order), how)))
+    complete = attached(stamped, bases(block_stats(in_blocks(stamped, order), how)))
     return grouped(in_blocks(complete, order), how)
 
 
