@@ -90,7 +90,9 @@ def journal_text(entries: DataFrame, output: str, tz_offset_s: int) -> DataFrame
         size = F.octet_length(front)
     else:
         if output == "short-monotonic":
-            number = F.lpad(F.concat(F.floor(F.col("monotonic_us") / 1_000_000).cast("string"), F.lit("."), F.lpad((F.col("monotonic_us") % 1_000_000).cast("string"), 6, "0")), 12, " ")
+            number = F.concat(F.expr("monotonic_us div 1000000").cast("string"), F.lit("."), F.lpad((F.col("monotonic_us") % 1_000_000).cast("string"), 6, "0"))
+            # lpad would cut longer numbers
+            number = F.concat(F.repeat(F.lit(" "), 12 - F.char_length(number)), number)
             front = F.concat(F.lit("["), number, F.lit("]"))
             begin, size = F.lit(1) + F.octet_length(number) - F.octet_length(F.ltrim(number)), F.octet_length(F.ltrim(number))
         else:

@@ -70,6 +70,13 @@ def test_journal_search(spark, tmp_path):
         journal_operators.journal_text(spark.createDataFrame([], journal.ENTRIES), "json", 0)
 
 
+def test_monotonic_times_beyond_the_padding_are_whole(spark):
+    rows = [(0, 99999_999999, [], []), (0, 100005_000001, [], []), (0, 12_345678_000009, [], [])]
+    made = journal_operators.journal_text(spark.createDataFrame(rows, "realtime_us long, monotonic_us long, keys array<string>, values array<binary>"), "short-monotonic", 0)
+    out = [(bytes(r.raw).decode(), bytes(r.raw)[r.dt_beg : r.dt_end].decode()) for r in made.orderBy("monotonic_us").collect()]
+    assert out == [("[99999.999999]\n", "99999.999999"), ("[100005.000001]\n", "100005.000001"), ("[12345678.000009]\n", "12345678.000009")]
+
+
 def _name(text):
     return struct.pack("<IHH", 0, 0, len(text)) + text.encode("utf-16-le") + bytes(2)
 
