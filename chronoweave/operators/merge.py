@@ -6,6 +6,7 @@ from pyspark.sql import DataFrame, Window
 from pyspark.sql import functions as F
 
 from chronoweave.operators.running import with_running
+from chronoweave.plans.shared import written
 
 #: Messages per block of a running maximum.
 BLOCK = 1 << 20
@@ -46,13 +47,15 @@ def last_of_each_time(messages: DataFrame, at: str = "epoch_ns") -> DataFrame:
 def with_position(messages: DataFrame, at: str = "merge_key") -> DataFrame:
     """Adds position, from 1: the place of each message in the merged order.
 
-    Messages are ranked inside ranges of the order and the ranges' sizes are summed up, so no task holds all rows.
+    Messages are ranked inside ranges of the order and the ranges' sizes are summed up, so no task holds all rows. They
+    are written with their range and rank: a plan that made the ranges once to count and once to number
+    them could cut them differently.
     """
     ranges = messages.repartitionByRange(at, "path_id", "seq").sortWithinPartitions(at, "path_id", "seq")
     # one number for each row of its own range, then one row for each range
     numbered = ranges.withColumn("_id", F.monotonically_increasing_id())
     part, place = F.shiftrightunsigned("_id", 33), F.col("_id").bitwiseAND(F.lit((1 << 33) - 1))
-    numbered = numbered.withColumn("_part", part).withColumn("_place", place)
+    numbered = written(numbered.withColumn("_part", part).withColumn("_place", place))
     sizes = numbered.groupBy("_part").agg(F.count("*").alias("_n"))
     before = Window.orderBy("_part").rowsBetween(Window.unboundedPreceding, -1)
     starts = sizes.select(F.col("_part").alias("_p"), F.coalesce(F.sum("_n").over(before), F.lit(0)).alias("_start"))
