@@ -32,7 +32,7 @@ def _equal_to_sql(spark, name, folder):
     assert sorted(map(tuple, df.select(want.columns).collect())) == sorted(want.fetchall())
 
 
-@pytest.mark.parametrize("name", ["merge_rendered", "search_plain", "search_gz"])
+@pytest.mark.parametrize("name", ["merge_rendered", "search_plain", "search_gz", "search_takewhile"])
 def test_positions_of_wide_rows_equal_sql(spark, tmp_path, name):
     """Rows much wider than their keys: a shuffle of both is read in more parts than one of the keys."""
     wide = ", ".join(f"sha256(event_id || '-{i}')" for i in range(16))
