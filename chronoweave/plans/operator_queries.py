@@ -14,7 +14,7 @@ from pyspark.sql import functions as F
 
 from chronoweave.functions import patterns
 from chronoweave.operators import journal, merge, messages, render
-from chronoweave.operators.running import with_next
+from chronoweave.operators.running import with_next, with_running
 from chronoweave.plans import logs
 from chronoweave.plans.shared import shared_path
 from chronoweave.sources import files
@@ -180,23 +180,35 @@ def classify_path(spark, sf_dir):
 
 def _written_files(spark, sf_dir, line: Column, **options) -> list[str]:
     """Folders with one log file for each event type: the shifted events in order, every third with a second line."""
-    shown = F.timestamp_add("HOUR", -(F.col("event_id") % 7).cast("int"), F.date_trunc("second", "ts").cast("timestamp_ntz"))
-    rows = _events(spark, sf_dir).select(F.expr(_TYPES).alias("path_id"), "event_id", shown.alias("at"), "event_type")
-    text = F.concat(line, F.lit(" "), F.col("event_type"), F.lit(" "), F.col("event_id").cast("string"), F.when(F.col("event_id") % 3 == 0, "\n  more").otherwise(""))
     path = shared_path(spark)
-    ordered = rows.select("path_id", "event_id", text.alias("value")).repartition("path_id").sortWithinPartitions("path_id", "event_id")
-    ordered.select("path_id", "value").write.partitionBy("path_id").options(**options).text(path)
+    _write_lines(_shown(spark, sf_dir), line, ["path_id"], path, **options)
     return [f"{path}/path_id={i}" for i in range(4)]
 
 
-def _searched(spark, sf_dir, paths: list[str], mtime: float | None = None, **options) -> DataFrame:
-    """Position and text of all messages of the written files in the window."""
+def _shown(spark, sf_dir) -> DataFrame:
+    shown = F.timestamp_add("HOUR", -(F.col("event_id") % 7).cast("int"), F.date_trunc("second", "ts").cast("timestamp_ntz"))
+    return _events(spark, sf_dir).select(F.expr(_TYPES).alias("path_id"), "event_id", shown.alias("at"), "event_type")
+
+
+def _write_lines(rows: DataFrame, line: Column, by: list[str], path: str, **options) -> None:
+    text = F.concat(line, F.lit(" "), F.col("event_type"), F.lit(" "), F.col("event_id").cast("string"), F.when(F.col("event_id") % 3 == 0, "\n  more").otherwise(""))
+    ordered = rows.select(*by, "event_id", text.alias("value")).repartition(*by).sortWithinPartitions(*by, "event_id")
+    ordered.select(*by, "value").write.partitionBy(*by).options(**options).text(path)
+
+
+def _planned(spark, paths: list[str], **options) -> logs.Search:
+    """A search of the written files for the messages in the window."""
     window = {"after": "2024-01-05 00:00:00", "before": "2024-01-20 00:00:00"}
-    found = logs.plan(spark, paths, logs.Options(dt_format="%Y%m%dT%H%M%S", dt_zone="+00:00", **window, **options))
-    if mtime is not None:
-        found = replace(found, files=[f | {"mtime": mtime} for f in found.files])
-    inside = merge.with_position(found.messages())
-    return render.rendered(inside, None, "%Y%m%dT%H%M%S", "+00:00").select("path_id", F.col("position").cast("bigint").alias("position"), "text")
+    return logs.plan(spark, paths, logs.Options(dt_format="%Y%m%dT%H%M%S", dt_zone="+00:00", **window, **options))
+
+
+def _placed(inside: DataFrame) -> DataFrame:
+    """Position and text of messages."""
+    return render.rendered(merge.with_position(inside), None, "%Y%m%dT%H%M%S", "+00:00").select("path_id", F.col("position").cast("bigint").alias("position"), "text")
+
+
+def _searched(spark, sf_dir, paths: list[str], **options) -> DataFrame:
+    return _placed(_planned(spark, paths, **options).messages())
 
 
 def search_plain(spark, sf_dir):
@@ -207,8 +219,33 @@ def search_gz(spark, sf_dir):
     return _searched(spark, sf_dir, _written_files(spark, sf_dir, F.date_format("at", "EEE MMM dd HH:mm:ss yyyy"), compression="gzip"))
 
 
+def _rotated(spark, sf_dir) -> DataFrame:
+    """The shifted events with the number of their file: a source begins another one before a step back of more than 25 hours."""
+    rows = _shown(spark, sf_dir).withColumn("s", _seconds(F.col("at"))).withColumn("_block", F.floor(F.col("event_id") / merge.BLOCK))
+    ahead = with_next(rows, ["path_id"], "_block", "event_id", "after", F.col("s"))
+    ends = F.when(F.col("s") - F.col("after") > 25 * 3600, 1).otherwise(0)
+    return with_running(ahead, ["path_id"], "_block", "event_id", {"ended": ("sum", ends)}).withColumn("file", F.col("ended") - ends)
+
+
 def search_no_year(spark, sf_dir):
-    return _searched(spark, sf_dir, _written_files(spark, sf_dir, F.date_format("at", "MMM dd HH:mm:ss")), 1706745600.0)
+    """Lines without a year, in files that end before a step back that would read as the turn of a year; a file's mtime is its last line's.
+
+    The files of one source are merged as one: its merge key runs on over them. The driver takes three numbers a file.
+    """
+    rows, path = _rotated(spark, sf_dir), shared_path(spark)
+    _write_lines(rows, F.date_format("at", "MMM dd HH:mm:ss"), ["path_id", "file"], path)
+    ends = rows.groupBy("path_id", "file").agg(F.max_by("s", "event_id").alias("s")).orderBy("path_id", "file").collect()
+    found = _planned(spark, [f"{path}/path_id={r.path_id}/file={r.file}" for r in ends])
+    found = replace(found, files=[f | {"mtime": float(r.s)} for f, r in zip(found.files, ends, strict=True)])
+    highs = {r.path_id: r.high for r in found.messages(flag=True).groupBy("path_id").agg(F.max("merge_key").alias("high")).collect()}
+    listed, before = [], {}
+    for f, r in zip(found.files, ends):
+        listed.append((f["path_id"], r.path_id, r.file, before.get(r.path_id)))
+        before[r.path_id] = max((x for x in (before.get(r.path_id), highs.get(f["path_id"])) if x is not None), default=None)
+    listed = spark.createDataFrame(listed, "_id int, _source int, _file long, _before long")
+    inside = found.messages().join(F.broadcast(listed), F.col("path_id") == F.col("_id"))
+    inside = inside.withColumns({"path_id": F.col("_source"), "seq": F.col("_file") * (1 << 32) + F.col("seq"), "merge_key": F.greatest("merge_key", "_before")})
+    return _placed(inside.drop("_id", "_source", "_file", "_before"))
 
 
 def search_takewhile(spark, sf_dir):

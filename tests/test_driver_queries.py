@@ -32,7 +32,7 @@ def _equal_to_sql(spark, name, folder):
     assert sorted(map(tuple, df.select(want.columns).collect())) == sorted(want.fetchall())
 
 
-@pytest.mark.parametrize("name", ["merge_rendered", "search_plain", "search_gz", "search_takewhile"])
+@pytest.mark.parametrize("name", ["merge_rendered", "search_plain", "search_gz", "search_takewhile", "search_no_year"])
 def test_positions_of_wide_rows_equal_sql(spark, tmp_path, name):
     """Rows much wider than their keys: a shuffle of both is read in more parts than one of the keys."""
     wide = ", ".join(f"sha256(event_id || '-{i}')" for i in range(16))
@@ -42,6 +42,16 @@ def test_positions_of_wide_rows_equal_sql(spark, tmp_path, name):
     _equal_to_sql(spark, name, tmp_path)
 
 
+def test_no_year_search_of_a_table_that_steps_back(spark, tmp_path):
+    """Events of the same month three times over, and of the years after: the files' mtimes tell the years."""
+    moved = "ts + to_days(CAST(CASE k WHEN 3 THEN 365 WHEN 4 THEN 330 ELSE 0 END AS INTEGER))"
+    copies = f"SELECT event_id + k * 1000 AS event_id, {moved} AS ts, user_id, event_type, value, props FROM '{SF}/events.parquet', range(5) r(k)"
+    duckdb.sql(f"COPY ({copies}) TO '{tmp_path}/events.parquet'")
+    for t in ("orders", "lineitem"):
+        (tmp_path / f"{t}.parquet").symlink_to(f"{SF}/{t}.parquet")
+    _equal_to_sql(spark, "search_no_year", tmp_path)
+
+
 def test_entry_has_queries():
     import __spark_entry__ as entry
 
