@@ -9,23 +9,30 @@ library encodes those that aren't there. Any other tokenizer gets whole texts.
 from __future__ import annotations
 
 import json
+import string
 from functools import lru_cache
-from itertools import chain
+from itertools import chain, repeat
 
 import numpy as np
 import pyarrow as pa
 import pyarrow.compute as pc
 
+from . import kernels as K
 from .token_counts import encoded, tokenizer
 
 #: Bytes of pieces, ids and their entries that the cache of one worker holds; a full one starts anew.
 CACHE_BYTES = 128 << 20
 #: Bytes of text that are split together; a longer text is split alone.
-CHUNK = 4 << 20
+CHUNK = 8 << 20
 #: About the bytes of an entry besides its piece and ids.
 ENTRY_BYTES = 120
 # Fixed value: the pattern of pre-tokens that this rule knows; none of them holds white space.
 PATTERN = r"'s|'t|'re|'ve|'m|'ll|'d|[\p{L}]+|[\p{N}]|[^\s\p{L}\p{N}]+"
+#: What stands behind each of the pieces that are encoded in one text, and how many are.
+MARK, TOGETHER = "~", 2000
+MARKS = string.punctuation
+# Fixed value: ASCII, Latin-1 and Latin Extended-A letters, without those whose small form is another sequence.
+PLAIN = r"^[!-~À-ÖØ-öø-įĲ-ňŊ-ž]+$"
 
 
 @lru_cache(maxsize=4)
@@ -59,18 +66,20 @@ class Cache:
         self.number, self.flat, self.cuts, self.size = {}, [np.zeros(0, np.uint32)], [np.zeros(1, np.int64)], 0
 
     def numbers(self, pieces: list[str]) -> np.ndarray:
-        """The number of each piece, after encoding those that are new."""
+        """The number of each of the (distinct) pieces, after encoding those that are new."""
         if self.size > self.limit:
             self._clear()
-        new = [p for p in pieces if p not in self.number]
-        if new:
-            made = encoded(self.path, new)
-            ends = np.cumsum([len(x) for x in made]) + self.cuts[-1][-1]
-            self.flat.append(np.fromiter(chain.from_iterable(made), np.uint32, int(ends[-1] - self.cuts[-1][-1])))
-            self.cuts.append(ends)
-            self.number.update(zip(new, range(len(self.number), len(self.number) + len(new))))
+        numbers = np.fromiter(map(self.number.get, pieces, repeat(-1)), np.int64, len(pieces))
+        unknown = np.flatnonzero(numbers < 0)
+        if len(unknown):
+            new = [pieces[i] for i in unknown.tolist()]
+            made, sizes = _each(self.path, new)
+            self.flat.append(made)
+            self.cuts.append(np.cumsum(sizes) + self.cuts[-1][-1])
+            numbers[unknown] = range(len(self.number), len(self.number) + len(new))
+            self.number.update(zip(new, numbers[unknown].tolist()))
             self.size += sum(map(len, new)) + 4 * len(self.flat[-1]) + ENTRY_BYTES * len(new)
-        return np.fromiter(map(self.number.__getitem__, pieces), np.int64, len(pieces))
+        return numbers
 
     def table(self) -> tuple[np.ndarray, np.ndarray]:
         """All ids, and where each number's ids begin (plus one)."""
@@ -83,12 +92,42 @@ def cache(path: str) -> Cache:
     return Cache(path)
 
 
+def _each(path: str, pieces: list[str]) -> tuple[np.ndarray, np.ndarray]:
+    """Ids of all pieces, one after the other, and how many each has.
+
+    Pieces go to the library as a few texts with ``MARK`` behind each, whose id no piece without it holds. Pieces that have the mark are
+    parted from the others by halving and encoded alone; so are all if the marks found aren't one a piece.
+    """
+    mark = tokenizer(path).encode(MARK, add_special_tokens=False).ids
+    sep = f" {MARK} "
+    if len(mark) == 1 and not any(MARK in p for p in pieces):
+        texts = [sep.join(pieces[i : i + TOGETHER]) + sep for i in range(0, len(pieces), TOGETHER)]
+        flat = np.concatenate([np.array(ids, np.uint32) for ids in encoded(path, texts)])
+        ends = np.flatnonzero(flat == mark[0])
+        if len(ends) == len(pieces):
+            return flat[flat != mark[0]], np.diff(ends, prepend=-1) - 1
+    elif len(mark) == 1 and len(pieces) > 1:
+        half = len(pieces) // 2
+        (x, n), (y, m) = _each(path, pieces[:half]), _each(path, pieces[half:])
+        return np.concatenate([x, y]), np.concatenate([n, m])
+    made = encoded(path, pieces)
+    sizes = np.fromiter(map(len, made), np.int64, len(made))
+    return np.fromiter(chain.from_iterable(made), np.uint32, int(sizes.sum())), sizes
+
+
 def _folded(piece: pa.Array) -> tuple[pa.Array, pa.Array]:
-    """Two pieces (the second may be empty) with the same ids in a row: letters A-Z small, a last mark apart."""
-    small = pc.and_(pc.string_is_ascii(piece), pc.invert(pc.match_substring(piece, "<|")))
-    piece = pc.if_else(small, pc.ascii_lower(piece), piece)
-    mark = pc.match_substring_regex(piece, r"[0-9A-Za-z][,.;:!?]$")
-    return pc.if_else(mark, pc.utf8_slice_codeunits(piece, 0, -1), piece), pc.if_else(mark, pc.utf8_slice_codeunits(piece, -1), "")
+    """Two pieces (either may be empty) with the same ids in a row: Latin letters small, the marks at the end apart.
+
+    Only where all characters are ASCII or Latin letters that are whole by themselves and have one small letter, and none begins an added token.
+    """
+    plain = pc.and_(pc.match_substring_regex(piece, PLAIN), pc.invert(pc.match_substring(piece, "<|")))
+    small = pc.if_else(plain, pc.utf8_lower(piece), piece)
+    stem = pc.if_else(plain, pc.ascii_rtrim(small, characters=MARKS), small)
+    data, offsets = K.buffers(small)
+    sizes = offsets[1:] - offsets[:-1] - pc.binary_length(stem).to_numpy(zero_copy_only=False)
+    tail = _runs(data, offsets[1:] - sizes, sizes)
+    cuts = np.concatenate([[0], np.cumsum(sizes)]).astype(np.int64)
+    return stem, pa.Array.from_buffers(pa.large_string(), len(sizes), [None, pa.py_buffer(cuts), pa.py_buffer(tail)])
 
 
 def ids_of(path: str, data: np.ndarray, offsets: np.ndarray, end_id: int) -> tuple[np.ndarray, np.ndarray]:
@@ -109,17 +148,24 @@ def ids_of(path: str, data: np.ndarray, offsets: np.ndarray, end_id: int) -> tup
     number = known.numbers(both.dictionary.to_pylist())
     flat, cuts = known.table()
     number = number[np.asarray(both.indices)]
-    # every word is a stem and a tail, and every text ends with the end id
-    word = np.asarray(coded.indices)
-    two = np.stack([number[: len(stem)][word], number[len(stem) :][word]], axis=1).ravel()
-    sizes = cuts[two + 1] - cuts[two]
-    before = np.concatenate([[0], np.cumsum(sizes)])
-    per_text = before[2 * (begin[1:] - begin[0])] - before[2 * (begin[:-1] - begin[0])]
-    take = np.repeat(cuts[two] - before[:-1], sizes) + np.arange(before[-1])
-    ids = flat[take]
-    ends = np.cumsum(per_text + 1) - 1
-    out = np.empty(len(ids) + n, np.uint32)
-    own = np.ones(len(out), bool)
+    # every distinct word is a stem and a tail; the end id is one word more, behind each text
+    two = np.stack([number[: len(stem)], number[len(stem) :]], axis=1).ravel()
+    of_words = np.append(_runs(flat, cuts[two], cuts[two + 1] - cuts[two]), np.uint32(end_id))
+    in_word = np.append((cuts[two + 1] - cuts[two]).reshape(-1, 2).sum(axis=1), 1)
+    ends = begin[1:] - begin[0] + np.arange(n)
+    word = np.full(len(coded) + n, len(stem), np.int32)
+    own = np.ones(len(word), bool)
     own[ends] = False
-    out[own], out[ends] = ids, end_id
-    return out, per_text + 1
+    word[own] = np.asarray(coded.indices)
+    sizes = in_word[word]
+    return _runs(of_words, (np.cumsum(in_word) - in_word)[word], sizes), np.diff(np.cumsum(sizes)[ends], prepend=0)
+
+
+def _runs(flat: np.ndarray, begin: np.ndarray, sizes: np.ndarray) -> np.ndarray:
+    """The runs of ``flat`` that begin and are as long as given, one after the other."""
+    ends = np.cumsum(sizes)
+    total = int(ends[-1]) if len(ends) else 0
+    kind = np.int32 if max(total, len(flat)) < 1 << 31 else np.int64
+    at = np.repeat((begin - ends + sizes).astype(kind), sizes)
+    at += np.arange(total, dtype=kind)
+    return flat[at]

@@ -34,6 +34,21 @@ def test_a_full_cache_forgets_and_stays_right(monkeypatch):
     assert len(small.number) < 100
 
 
+def test_words_that_differ_in_case_and_last_marks_are_encoded_once(monkeypatch):
+    own = pieces.Cache(PATH)
+    monkeypatch.setattr(pieces, "cache", lambda path: own)
+    texts = ["Été été, ÉTÉ!!! été### ŁÓDKA łódka' Dog dog... DOG", "~ a~b İ ŉ <|startoftext|>. x<|startoftext|>!! $$$ (été)"]
+    assert ids(texts) == [[*x, 2] for x in token_counts.encoded(PATH, texts)]
+    assert {p for p in own.number if p.lower().startswith(("é", "ł", "d"))} == {"été", "łódka", "dog"}
+
+
+@given(st.lists(st.text(alphabet=st.characters(min_codepoint=0x21, max_codepoint=0x24F), max_size=5), min_size=1, max_size=40))
+@settings(deadline=None, max_examples=300)
+def test_latin_pieces_give_the_ids_of_whole_texts(words):
+    texts = [" ".join(words), "~".join(words)]
+    assert ids(texts) == [[*x, 2] for x in token_counts.encoded(PATH, texts)]
+
+
 @pytest.mark.parametrize("name", ["byte_bpe_50k.json"])
 def test_other_tokenizers_get_whole_texts(name):
     path = queries.vocabulary(name)
