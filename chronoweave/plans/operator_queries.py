@@ -193,7 +193,8 @@ def _shown(spark, sf_dir) -> DataFrame:
 def _write_lines(rows: DataFrame, line: Column, by: list[str], path: str, **options) -> None:
     text = F.concat(line, F.lit(" "), F.col("event_type"), F.lit(" "), F.col("event_id").cast("string"), F.when(F.col("event_id") % 3 == 0, "\n  more").otherwise(""))
     ordered = rows.select(*by, "event_id", text.alias("value")).repartition(*by).sortWithinPartitions(*by, "event_id")
-    ordered.select(*by, "value").write.partitionBy(*by).options(**options).text(path)
+    # one file for each of ``by``: a session's limit of rows a file would cut it into several, each merged as a source of its own
+    ordered.select(*by, "value").write.partitionBy(*by).options(maxRecordsPerFile=0, **options).text(path)
 
 
 def _planned(spark, paths: list[str], **options) -> logs.Search:
