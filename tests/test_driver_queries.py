@@ -52,7 +52,7 @@ def test_no_year_search_of_a_table_that_steps_back(spark, tmp_path):
     _equal_to_sql(spark, "search_no_year", tmp_path)
 
 
-@pytest.mark.parametrize("name", ["search_gz", "search_plain"])
+@pytest.mark.parametrize("name", ["search_gz", "search_plain", "search_takewhile"])
 def test_searches_where_the_session_limits_rows_a_file(spark, name):
     """A source is one file however many rows a session lets into one."""
     spark.conf.set("spark.sql.files.maxRecordsPerFile", "100")
