@@ -19,20 +19,38 @@ from chronoweave.sources.bytes import split_lines, tar_entries, unpacked
 
 #: Lines of one block of a decoded file, and lines handed on at once.
 BLOCK_LINES, PART_LINES = 1 << 20, 1 << 16
+#: As many parts as a scan is cut into, if its files are large enough; the cores at that time, where it is not set.
+MIN_PARTITIONS = "spark.sql.files.minPartitionNum"
 #: What a broken packed or tar file raises.
 BROKEN = (OSError, EOFError, ValueError, IndexError, lzma.LZMAError, zlib.error)
 LINES = "path_id int, block long, raw binary"
 
 
+def _steady(spark: SparkSession) -> SparkSession:
+    """A session with the settings that ``spark`` has now, whose scans are cut for the cores that there are now.
+
+    Where files are split depends on settings and cores at the time a scan starts. Several passes that name blocks by
+    their splits must cut alike, though executors come and go, or settings change, between them.
+    """
+    held = spark.newSession()
+    for key, value in spark.conf.getAll.items():
+        if held.conf.get(key, None) != value:
+            held.conf.set(key, value)
+    if held.conf.get(MIN_PARTITIONS, None) is None:
+        held.conf.set(MIN_PARTITIONS, str(spark.sparkContext.defaultParallelism))
+    return held
+
+
 def _scan(spark: SparkSession, files: list[dict], known: DataFrame) -> DataFrame:
     """Lines by the text scan. Bytes pass unchanged; every line gets back its newline, but for a last line without one."""
-    lines = spark.read.text([f["path"] for f in files], lineSep="\n").select(
+    lines = _steady(spark).read.text([f["path"] for f in files], lineSep="\n").select(
         F.col("_metadata.file_path").alias("_path"), F.col("_metadata.file_size").alias("_size"), F.col("_metadata.file_block_start").alias("block"),
         (F.col("_metadata.file_block_start") + F.col("_metadata.file_block_length")).alias("_end"), F.col("value").cast("binary").alias("_line"),
     )
     raw = F.concat("_line", F.lit(b"\n")).alias("raw")
     open_end = (~F.col("newline") & (F.col("_end") >= F.col("_size"))).alias("open_end")
-    return lines.join(F.broadcast(known.withColumnRenamed("path", "_known")), F.col("_path") == F.col("_known")).select(*[c for c in known.columns if c not in ("path", "newline")], "block", open_end, raw)
+    # the session of the left side runs the query; the scan's own only cuts its files
+    return F.broadcast(known.withColumnRenamed("path", "_known")).join(lines, F.col("_path") == F.col("_known")).select(*[c for c in known.columns if c not in ("path", "newline")], "block", open_end, raw)
 
 
 def contents(path_of: dict[str, list[dict]], path: str, content: bytes, single_member: bool = False) -> Iterator[tuple[dict, bytes | None, str | None]]:

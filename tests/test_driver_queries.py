@@ -1,6 +1,7 @@
 import duckdb
 import pytest
 
+from chronoweave.operators import messages
 from chronoweave.plans import driver_queries, operator_queries
 
 SF = "/root/testdata/sf0.001"
@@ -62,6 +63,26 @@ def test_searches_where_the_session_limits_rows_a_file(spark, name):
         spark.conf.unset("spark.sql.files.maxRecordsPerFile")
 
 
+@pytest.mark.parametrize("name", ["search_plain"])
+def test_searches_where_cores_are_added_between_passes(spark, monkeypatch, name):
+    """The pass over the blocks and the one over their lines cut large files alike, however many cores there are at each."""
+    bases, folder = messages.bases, "/root/testdata/sf0.01"
+
+    def on_few_cores(stats):
+        found = bases(stats).localCheckpoint()
+        spark.conf.set("spark.sql.files.minPartitionNum", "64")
+        return found
+
+    monkeypatch.setattr(messages, "bases", on_few_cores)
+    spark.conf.set("spark.sql.files.openCostInBytes", "1000")
+    spark.conf.set("spark.sql.files.minPartitionNum", "1")
+    try:
+        _equal_to_sql(spark, name, folder)
+    finally:
+        spark.conf.unset("spark.sql.files.openCostInBytes")
+        spark.conf.unset("spark.sql.files.minPartitionNum")
+
+
 def test_entry_has_queries():
     import __spark_entry__ as entry
 
