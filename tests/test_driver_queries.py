@@ -63,7 +63,7 @@ def test_searches_where_the_session_limits_rows_a_file(spark, name):
         spark.conf.unset("spark.sql.files.maxRecordsPerFile")
 
 
-@pytest.mark.parametrize("name", ["search_plain"])
+@pytest.mark.parametrize("name", ["search_plain", "search_takewhile"])
 def test_searches_where_cores_are_added_between_passes(spark, monkeypatch, name):
     """The pass over the blocks and the one over their lines cut large files alike, however many cores there are at each."""
     bases, folder = messages.bases, "/root/testdata/sf0.01"
